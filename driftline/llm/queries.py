@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    return drop_boilerplate(_table(spark, sf_dir, "documents"), min_sites=5)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    rows = assign_shards(_table(spark, sf_dir, "documents"), n_shards=40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources, n_words
+
+    docs = _table(spark, sf_dir, "documents")
+    budget = docs.agg(F.sum(n_words(F.col("text")))).first()[0]
+    rows = mix_sources(docs.select("doc_id", "source", "text"), max_repeats=2.0, budget_tokens=budget)
+    return rows.select("document.doc_id", "source", "n_tokens", "quota", "epoch", "at_token")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts,)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup, mixing
+
+    return {"op2_line_dedup": line_dedup.SQL, "op10_source_mixing": mixing.SQL}
