@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import columns_as, materialise
+from .workspace import materialise
 
 #: The exponent is a multiple of 2**-20, found in 4 rounds of 32 equal parts.
 ROUNDS, PARTS = 4, 32
@@ -90,14 +90,12 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, entropy_share:
     by itself. An empty table gives an empty result. ``budget_tokens`` None is the
     least budget that reads every document once.
     """
-    keep = columns_as(docs, id=id_col, text=text_col, source=source_col)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
         F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
         n_words(F.col(f"`{text_col}`")).alias("n_tokens"),
         F.coalesce(F.col(f"`{id_col}`").cast("string"), F.md5(F.col(f"`{text_col}`")), F.lit("")).alias("key"),
     )
-    del keep
     sources = materialise(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
     some = source_quotas(sources.where("tokens > 0"), max_repeats, entropy_share, budget_tokens).select("source", "tokens", "quota")
     none = sources.where("tokens = 0").select("source", "tokens", F.lit(0).cast("bigint").alias("quota"))
@@ -120,14 +118,14 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, entropy_share:
 
 
 def _sql() -> str:
-    rounds = ["r0 AS (SELECT CAST(0 AS BIGINT) AS at)"]
+    rounds = ["r0 AS (SELECT CAST(0 AS BIGINT) AS lo)"]
     step = 1 << 20
     for i in range(1, ROUNDS + 1):
         step //= PARTS
         rounds.append(f"""r{i} AS (
-  SELECT coalesce(max(k), (SELECT at FROM r{i - 1})) AS at FROM (
+  SELECT coalesce(max(k), (SELECT lo FROM r{i - 1})) AS lo FROM (
     SELECT k, max(pow(p, k / 1048576.0 - 1)) / sum(pow(p, k / 1048576.0)) AS repeats
-    FROM share, (SELECT r{i - 1}.at + j * {step} AS k FROM r{i - 1}, generate_series(0, {PARTS - 1}) g(j)) grid
+    FROM share, (SELECT r{i - 1}.lo + j * {step} AS k FROM r{i - 1}, generate_series(0, {PARTS - 1}) g(j)) grid
     GROUP BY k) WHERE repeats > 2.0)""")
     return f"""
 WITH doc AS (
@@ -139,7 +137,7 @@ tot AS (SELECT CAST(sum(tokens) AS DOUBLE) AS t FROM src WHERE tokens > 0),
 share AS (SELECT source, tokens, tokens / (SELECT t FROM tot) AS p FROM src WHERE tokens > 0),
 {', '.join(rounds)},
 expo AS (SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM (SELECT max(1 / p) / count(*) AS repeats FROM share) WHERE repeats > 2.0) THEN 0.0
-                ELSE least(1.0, (at + 1) / 1048576.0) END AS a FROM r{ROUNDS}),
+                ELSE least(1.0, (lo + 1) / 1048576.0) END AS a FROM r{ROUNDS}),
 quota AS (
   SELECT source, tokens, CAST(floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM share, expo) * (SELECT t FROM tot)) AS BIGINT) AS quota FROM share, expo
   UNION ALL SELECT source, tokens, 0 FROM src WHERE tokens = 0
@@ -152,9 +150,9 @@ ep AS (
 ), ord AS (
   SELECT source, block, epoch, epoch * tokens + coalesce(sum(block_tokens) OVER (
     PARTITION BY source, epoch ORDER BY CAST('0x' || md5(source || ':' || block || ':' || epoch)[1:8] AS BIGINT), block
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM ep
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ep
 ), placed AS (
-  SELECT b.doc_id, source, b.n_tokens, b.quota, b.tokens, o.epoch, o.at + coalesce(sum(b.n_tokens) OVER (
+  SELECT b.doc_id, source, b.n_tokens, b.quota, b.tokens, o.epoch, o.start + coalesce(sum(b.n_tokens) OVER (
     PARTITION BY source, block, o.epoch ORDER BY CAST('0x' || md5(key || ':' || o.epoch)[1:8] AS BIGINT), key
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_token
   FROM blocked b JOIN ord o USING (source, block)
