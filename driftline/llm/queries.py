@@ -33,6 +33,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules
+
+    return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources, n_words
 
@@ -43,7 +49,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op9_quality_rules, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
