@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .docstats import COUNTS, FEATURES, statistics
-from .workspace import columns_as, materialise
+from .workspace import bounded_sample, columns_as, materialise
 
 #: Labelled documents that the trees are fitted on at most, chosen by a hash of their id.
 MAX_TRAIN = 20_000
@@ -42,7 +42,9 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_train: int = MAX_TRAIN) -> boosting.Trees:
     """Trees for P(label = 1), on at most ``max_train`` labelled documents; rows without a label or an id are left out."""
     y = columns_as(labels, id=id_col, y=label_col).where("y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    sample = stats.select("id", "features").join(y, "id").orderBy(F.xxhash64("id"), "id").limit(max_train).toPandas()
+    y = materialise(bounded_sample(materialise(y, "labels"), "id", max_train), "sample")
+    # max_train rows of a number each at most: a proven bound for broadcasting
+    sample = stats.select("id", "features").join(F.broadcast(y), "id").dropDuplicates(["id"]).select("features", F.col("y").cast("int").alias("y")).toPandas()
     x = np.array(sample["features"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     return boosting.fit(x, sample["y"].to_numpy(dtype=float), np.array([m for _, m in FEATURES]))
 

@@ -41,6 +41,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` if there are no more than ``most``, else those with the least hashes of ``key``: ``most`` or somewhat fewer.
+
+    A threshold on the hash chooses them, so no task or driver sees more than its share.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    part = max(0.0, most - 5 * most**0.5) / n
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(part * (1 << 30))).limit(most)
+
+
 def columns_as(df: DataFrame, **wanted: str | None) -> DataFrame:
     """Only the wanted columns under internal names, so that extra columns of any name cannot clash.
 
