@@ -33,6 +33,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = find_leaks(docs, _table(spark, sf_dir, "benchmark"), threshold=0.75)
+    best = F.array_max(F.transform("leaks", lambda x: x["similarity"]))
+    contaminated = F.size("leaks") > 0
+    return rows.select("document.doc_id", contaminated.alias("contaminated"), (~contaminated).alias("kept"), F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item"]))).alias("item_ids"), best.alias("best_similarity"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
@@ -57,7 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op5_quality_classifier, op9_quality_rules, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op4_decontamination, op5_quality_classifier, op9_quality_rules, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
