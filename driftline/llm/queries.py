@@ -51,6 +51,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document.doc_id", "doc_quality", "host_quality", "path_quality", "score", "kept")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
 
@@ -67,7 +73,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op4_decontamination, op5_quality_classifier, op9_quality_rules, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op4_decontamination, op5_quality_classifier, op6_jaccard_join, op9_quality_rules, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
