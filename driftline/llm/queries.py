@@ -57,6 +57,13 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_index
+
+    rows = archive_and_index(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_rank")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
 
@@ -73,10 +80,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op4_decontamination, op5_quality_classifier, op6_jaccard_join, op9_quality_rules, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op4_decontamination, op5_quality_classifier, op6_jaccard_join, op7_warc, op9_quality_rules, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, mixing
+    from . import line_dedup, mixing, warc
 
-    return {"op2_line_dedup": line_dedup.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op7_warc": warc.SQL, "op10_source_mixing": mixing.SQL}
