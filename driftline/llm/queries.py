@@ -64,6 +64,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_rank")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
 
@@ -80,7 +86,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op4_decontamination, op5_quality_classifier, op6_jaccard_join, op7_warc, op9_quality_rules, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_sharding, op4_decontamination, op5_quality_classifier, op6_jaccard_join, op7_warc, op8_lm_scoring, op9_quality_rules, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
