@@ -375,3 +375,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = described.join(classes, "node", "left")
     own = (F.col("n") == 0) | F.col("component_id").isNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each class: the one with the least id.
+
+    Rows without an id, and texts without words, stay. Rows that share an id are one
+    document: one of them stays, and none if a text of theirs links to a lesser id.
+    """
+    classes = materialise(jaccard_classes(docs, id_col, text_col), "classes")
+    dropped = classes.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(materialise(dropped, "dropped"), id_col, "left_anti").select(*docs.columns)
+    again = materialise(classes.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "again")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(once)
