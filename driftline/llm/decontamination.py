@@ -32,8 +32,8 @@ BLOCKS, BLOCK_BITS, FLIPS = 8, 16, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Items in one index, about; a larger benchmark is searched in several passes over the documents.
 ITEMS_A_PASS = 1024
-#: Windows fingerprinted at once.
-STARTS = 2048
+#: Windows fingerprinted at once, and the words that they may start in.
+WINDOWS, SPAN = 8192, 8192
 
 
 def _signs(h: np.ndarray) -> np.ndarray:
@@ -43,19 +43,22 @@ def _signs(h: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
-def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the signs of words and of word pairs."""
-    zero = np.zeros((1, 128), dtype=np.int32)
-    one = np.concatenate([zero, np.cumsum(_signs(words), axis=0, dtype=np.int32)])
-    two = np.concatenate([zero, np.cumsum(_signs(shingles(words, 2)), axis=0, dtype=np.int32)])
-    return one, two
+class Prints:
+    """Fingerprints of windows of one run of words, from prefix sums of the signs of words and of word pairs."""
 
+    def __init__(self, words: np.ndarray):
+        kind = np.int16 if len(words) < 1 << 14 else np.int32
+        zero = np.zeros((1, 128), dtype=kind)
+        self.one = np.concatenate([zero, np.cumsum(_signs(words), axis=0, dtype=kind)])
+        self.two = np.concatenate([zero, np.cumsum(_signs(shingles(words, 2)), axis=0, dtype=kind)])
 
-def fingerprints(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(n x 8) blocks of the fingerprints of the windows ``words[start:end]``, of one word at least."""
-    one, two = _sums(words)
-    total = one[end] - one[start] + two[np.maximum(end - 1, start)] - two[start]
-    return np.packbits(total > 0, axis=1).view(">u2").astype(np.uint16)
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(n x 8) blocks of the windows ``words[start:end]``, of one word at least."""
+        total = self.one[end]
+        total -= self.one[start]
+        total += self.two[np.maximum(end - 1, start)]
+        total -= self.two[start]
+        return np.packbits(total > 0, axis=1).view(">u2").astype(np.uint16)
 
 
 @functools.lru_cache(maxsize=1)
@@ -88,7 +91,7 @@ class Index:
         self.known, self.weights, self.other = every, np.log1p(len(self.ids) / n), float(np.log1p(max(len(self.ids), 1)))
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[(every >> np.uint64(44)).astype(np.int64)] = True
-        self.prints = np.concatenate([fingerprints(w, np.array([0]), np.array([len(w)])) for w in self.words]) if self.words else np.zeros((0, BLOCKS), np.uint16)
+        self.prints = np.concatenate([Prints(w).of(np.array([0]), np.array([len(w)])) for w in self.words]) if self.words else np.zeros((0, BLOCKS), np.uint16)
         self.tables = [self._table(self.prints[:, b]) for b in range(BLOCKS)]
 
     def _table(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,19 +110,21 @@ class Index:
         maybe = np.flatnonzero(self.bitmap[(s >> np.uint64(44)).astype(np.int64)])
         return maybe[np.isin(s[maybe], self.known)]
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (window, item) of fingerprints within RADIUS bits."""
+    def near(self, prints: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (window, item) of the same size whose fingerprints are within RADIUS bits."""
         windows, items = [], []
         for b, (starts, owner) in enumerate(self.tables):
-            v = prints[:, b].astype(np.int64)
-            lo, n = starts[v], starts[v + 1] - starts[v]
-            windows.append(np.repeat(np.arange(len(v)), n))
-            items.append(owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())])
+            v = prints[:, b]
+            lo = starts[v]
+            n = starts[v.astype(np.int64) + 1] - lo
+            w = np.repeat(np.arange(len(v)), n)
+            i = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(w))]
+            same = self.length[i] == size[w]
+            windows.append(w[same]), items.append(i[same])
         w, i = np.concatenate(windows), np.concatenate(items).astype(np.int64)
-        pair = np.unique(w * len(self.ids) + i)
-        w, i = pair // len(self.ids), pair % len(self.ids)
         close = np.bitwise_count(prints[w] ^ self.prints[i]).sum(axis=1) <= RADIUS
-        return w[close], i[close]
+        pair = np.unique(w[close] * len(self.ids) + i[close])
+        return pair // len(self.ids), pair % len(self.ids)
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of a window's shingles and the item's."""
@@ -138,22 +143,29 @@ class Index:
         hit = np.flatnonzero(marked)
         if not len(hit):
             return found
+        start, end = [], []
         for size in np.unique(self.length[self.length > 0]):
-            # starts of windows of this size that hold a hit; a shorter text is one window
+            # windows of this size that hold a hit; a shorter text is one window
             edge = np.zeros(n + 1, dtype=np.int64)
             np.add.at(edge, np.maximum(hit - size + 1, 0), 1)
             np.add.at(edge, hit + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-            starts = np.unique(np.minimum(starts, max(n - size, 0)))
-            for at in range(0, len(starts), STARTS):
-                s = starts[at : at + STARTS]
-                e = np.minimum(s + size, n)
-                lo = int(s[0])
-                w, i = self.near(fingerprints(words[lo : int(e[-1])], s - lo, e - lo))
-                for a, item in zip(w[self.length[i] == size], i[self.length[i] == size], strict=True):
-                    got = self.similarity(words[s[a] : e[a]], int(item))
-                    if got >= threshold and got > found.get(int(item), (0.0,))[0]:
-                        found[int(item)] = (got, int(s[a]), int(e[a]))
+            s = np.unique(np.minimum(np.flatnonzero(np.cumsum(edge[:-1]) > 0), max(n - size, 0)))
+            start.append(s), end.append(s + size)
+        start, end = np.concatenate(start), np.concatenate(end)
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+        at = 0
+        while at < len(start):
+            # so many windows, and so many words, at a time
+            to = max(at + 1, min(at + WINDOWS, int(np.searchsorted(start, start[at] + SPAN))))
+            s, size = start[at:to], end[at:to] - start[at:to]
+            e, lo = np.minimum(end[at:to], n), int(start[at])
+            prints = Prints(words[lo : int(e.max())]).of(s - lo, e - lo)
+            for a, item in zip(*self.near(prints, size), strict=True):
+                got = self.similarity(words[s[a] : e[a]], int(item))
+                if got >= threshold and got > found.get(int(item), (0.0,))[0]:
+                    found[int(item)] = (got, int(s[a]), int(e[a]))
+            at = to
         return found
 
 
