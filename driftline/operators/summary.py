@@ -70,7 +70,7 @@ SUM_SQL = """summary AS (
          CASE WHEN span_frames > 0 THEN net_px * 0.5 / (span_frames * 60.0) END AS net_speed_um_per_min,
          CASE WHEN span_frames > 0 THEN path_px * 0.5 / (span_frames * 60.0) END AS path_speed_um_per_min,
          CASE WHEN path_px > 1e-9 THEN net_px / path_px END AS straightness,
-         CASE WHEN n_observations < 3 THEN 'fragment' ELSE '' END AS flags
+         CASE WHEN n_observations < 2 THEN 'fragment' ELSE '' END AS flags
   FROM (
     SELECT track_id, min(frame) AS first_frame, max(frame) AS last_frame, CAST(count(*) AS INTEGER) AS n_observations,
            max(frame) - min(frame) AS span_frames,

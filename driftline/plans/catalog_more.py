@@ -35,8 +35,8 @@ RULE_SQL = {
     "fast_track": "SELECT 'warning' AS severity, 'fast_track' AS code, 'Track ' || track_id || ' moves close to the speed limit' AS title, last_frame AS frame, track_id FROM summary WHERE max_speed_um_per_min > 4.0",
     "fragment": "SELECT 'info' AS severity, 'fragment' AS code, 'Track ' || track_id || ' has only ' || n_observations || ' observation(s)' AS title, first_frame AS frame, track_id FROM summary WHERE flags = 'fragment'",
     "gap_dominated_track": "SELECT 'warning' AS severity, 'gap_dominated_track' AS code, 'Track ' || track_id || ' is missing more often than it is seen' AS title, first_frame AS frame, track_id FROM summary WHERE total_missing_frames > 0 AND total_missing_frames >= n_observations",
-    "fallback_dependent_track": "SELECT 'warning' AS severity, 'fallback_dependent_track' AS code, 'Track ' || track_id || ' depends on the extra detection passes' AS title, first_frame AS frame, track_id FROM summary WHERE n_observations >= 3 AND n_borrowed > 0 AND n_borrowed * 2 >= n_observations",
-    "stationary_track": "SELECT 'warning' AS severity, 'stationary_track' AS code, 'Track ' || track_id || ' barely moves' AS title, first_frame AS frame, track_id FROM summary WHERE n_observations >= 3 AND net_displacement_um < 4.0 AND duration_min >= 30.0",
+    "fallback_dependent_track": "SELECT 'warning' AS severity, 'fallback_dependent_track' AS code, 'Track ' || track_id || ' depends on the extra detection passes' AS title, first_frame AS frame, track_id FROM summary WHERE n_observations >= 2 AND n_borrowed > 0 AND n_borrowed * 2 >= n_observations",
+    "stationary_track": "SELECT 'warning' AS severity, 'stationary_track' AS code, 'Track ' || track_id || ' barely moves' AS title, first_frame AS frame, track_id FROM summary WHERE n_observations >= 2 AND net_displacement_um < 4.0 AND duration_min >= 30.0",
     "no_tracks": "SELECT 'info' AS severity, 'no_tracks' AS code, 'No trajectories in this dataset' AS title, CAST(NULL AS INTEGER) AS frame, CAST(NULL AS BIGINT) AS track_id WHERE (SELECT count(*) FROM summary) = 0",
 }
 WITH_RULES = f"{WITH_SUM}, {COUNT_SQL}, {LINK_SQL}"
@@ -75,7 +75,7 @@ def qc_fast_track_slow_gate(spark, sf_dir):
     return plain(quality.fast_track(summed(spark, sf_dir), TrackingSettings(max_speed_um_per_min=0.5)))
 
 
-@query(f"{WITH_OBS}, {TRACKLET_SQL} SELECT 'info' AS severity, 'fragment' AS code, 'Track ' || track_id || ' has only ' || count(*) || ' observation(s)' AS title, min(frame) AS frame, track_id FROM tl GROUP BY track_id HAVING count(*) < 3")
+@query(f"{WITH_OBS}, {TRACKLET_SQL} SELECT 'info' AS severity, 'fragment' AS code, 'Track ' || track_id || ' has only ' || count(*) || ' observation(s)' AS title, min(frame) AS frame, track_id FROM tl GROUP BY track_id HAVING count(*) < 2")
 def qc_fragment_tracklets(spark, sf_dir):
     return plain(quality.fragment(summary.track_summary(tracklets(spark, sf_dir), SCALE, SETTINGS)))
 

@@ -38,7 +38,7 @@ class TrackingSettings:
 
     max_gap: int = 3
     max_speed_um_per_min: float = 5.0
-    min_observations: int = 3
+    min_observations: int = 2
     unmatched_cost: float = 15.0
     sigma_ln_area: float = 0.30
     sigma_ln_aspect: float = 0.35
