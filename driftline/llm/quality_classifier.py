@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .docstats import FEATURES, statistics
-from .words import LOOSE, Words, by_bytes
+from .words import LOOSE, Words, by_bytes, mix, shingles
 from .workspace import bounded_sample, columns_as, materialise
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of their id.
-MAX_TRAIN = 8_000
+MAX_TRAIN = 20_000
 BUCKET_BITS = 18
+#: Word buckets of less evidence than this (chance would give one in 130 thousand so much) are noise to the model.
+LEAST_G2 = 20.0
 #: Bounds of the estimated prior strengths, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e6
 
@@ -36,6 +38,18 @@ def word_sets(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (keys & ((1 << BUCKET_BITS) - 1)).astype(np.int32), offsets
 
 
+def min_hashes(texts: Sequence[str | None]) -> np.ndarray:
+    """Two min-hashes of each text's 5-word shingles (of the words, where there are fewer)."""
+    w = Words(texts, LOOSE, lower=True)
+    out = np.zeros((len(texts), 2), dtype=np.uint64)
+    for d in range(len(texts)):
+        h = w.hash[w.offset[d] : w.offset[d + 1]]
+        if len(h):
+            s = shingles(h, min(5, len(h)))
+            out[d] = s.min(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).min()
+    return out.view(np.int64)
+
+
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values)])
     return total[offsets[1:]] - total[offsets[:-1]]
@@ -55,8 +69,32 @@ class Logistic:
         return np.clip(_sums(self.words[buckets], offsets) + x @ self.dense + self.bias, -30, 30)
 
 
-def fit(buckets: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, least_docs: int = 4, ridge: float = 1.0, rounds: int = 150, rate: float = 0.3) -> Logistic:
-    """L2-regularised logistic regression by AdaGrad over the whole sample; words of fewer than ``least_docs`` documents are left out.
+def telling_words(buckets: np.ndarray, offsets: np.ndarray, y: np.ndarray, least: float = LEAST_G2) -> np.ndarray:
+    """Buckets that tell the classes apart beyond chance: likelihood ratio statistic G2 of the 2 x 2 table of ``least`` or more.
+
+    A model over all words would learn the rare ones of its sample by heart.
+    """
+    n, good = len(y), float(y.sum())
+    with_word = np.bincount(buckets, minlength=1 << BUCKET_BITS).astype(float)
+    in_good = np.bincount(buckets, np.repeat(y, np.diff(offsets)), 1 << BUCKET_BITS)
+    table = [(in_good, with_word * good / n), (with_word - in_good, with_word * (n - good) / n), (good - in_good, (n - with_word) * good / n), (n - good - with_word + in_good, (n - with_word) * (n - good) / n)]
+    g2 = sum(2 * o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300)) * (o > 0) for o, e in table)
+    return np.flatnonzero(g2 >= least)
+
+
+def unlike(marks: np.ndarray) -> np.ndarray:
+    """Rows of which no earlier row has either of the two min-hashes: near copies would count as so many witnesses for their words."""
+    seen: set[tuple[int, int]] = set()
+    keep = np.zeros(len(marks), dtype=bool)
+    for i, pair in enumerate(marks.tolist()):
+        named = [(j, m) for j, m in enumerate(pair)]
+        keep[i] = not any(x in seen for x in named)
+        seen.update(named)
+    return keep
+
+
+def fit(buckets: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, toxic: np.ndarray, ridge: float = 0.1, rounds: int = 300, rate: float = 0.3) -> Logistic:
+    """L2-regularised logistic regression by AdaGrad over the whole sample, on its telling words and the statistics.
 
     One class only, or no rows: a model without weights whose bias is the share.
     """
@@ -67,7 +105,7 @@ def fit(buckets: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray,
         return Logistic(words, np.zeros(d), np.ones(d), np.zeros(d), bias)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     xs = np.clip((x - mean) / scale, -4, 4)
-    used = np.flatnonzero(np.bincount(buckets, minlength=1 << BUCKET_BITS) >= least_docs)
+    used = np.union1d(telling_words(buckets, offsets, y), telling_words(buckets, offsets, toxic))
     place = np.full(1 << BUCKET_BITS, -1)
     place[used] = np.arange(len(used))
     col = place[buckets]
@@ -90,7 +128,7 @@ def fit(buckets: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, toxic_col: str, max_train: int = MAX_TRAIN) -> Logistic:
     """The document model for P(quality = 1 and not toxic) on at most ``max_train`` labelled documents."""
     y = columns_as(labels, id=id_col, q=quality_col, t=toxic_col).where("q is not null and id is not null")
-    y = y.groupBy("id").agg((F.min("q") * (1 - F.coalesce(F.max("t"), F.lit(0)))).alias("y"))
+    y = y.groupBy("id").agg(F.min("q").alias("q"), F.coalesce(F.max("t"), F.lit(0)).alias("t"))
     y = materialise(bounded_sample(materialise(y, "labels"), "id", max_train), "sample")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,16 +137,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, qualit
             for lo, hi in by_bytes(texts):
                 buckets, offsets = word_sets(texts[lo:hi])
                 x = statistics(texts[lo:hi])[1]
-                yield pa.RecordBatch.from_arrays([b.column("y").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(buckets)), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["y", "words", "x"])
+                marks = min_hashes(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([b.column("q").slice(lo, hi - lo), b.column("t").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * 2), pa.array(marks.ravel())), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(buckets)), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["q", "t", "marks", "words", "x"])
 
     # the sample has max_train rows of a number each at most: a proven bound for broadcasting
     rows = columns_as(docs, id=id_col, text=text_col).join(F.broadcast(y), "id").dropDuplicates(["id"])
-    table = rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(features, "y int, words array<int>, x array<double>").toArrow()
-    lists = table["words"].combine_chunks()
-    offsets = np.concatenate([[0], np.cumsum([len(c) for c in lists])]).astype(np.int64) if len(lists) else np.zeros(1, dtype=np.int64)
-    buckets = lists.flatten().to_numpy() if len(lists) else np.zeros(0, dtype=np.int32)
-    x = np.array(table["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return fit(buckets, offsets, x, table["y"].to_numpy().astype(float))
+    table = rows.select("text", F.col("q").cast("int").alias("q"), F.col("t").cast("int").alias("t")).mapInArrow(features, "q int, t int, marks array<bigint>, words array<int>, x array<double>").toArrow()
+    keep = unlike(table["marks"].combine_chunks().flatten().to_numpy().reshape(-1, 2)) if len(table) else np.zeros(0, dtype=bool)
+    table = table.filter(pa.array(keep)).combine_chunks()
+    if not len(table):
+        none = np.zeros(0)
+        return fit(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((0, len(FEATURES))), none, none)
+    words, x = (table[c].combine_chunks() for c in ("words", "x"))
+    offsets = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).astype(np.int64)
+    quality, toxic = (table[c].to_numpy().astype(float) for c in ("q", "t"))
+    return fit(words.flatten().to_numpy(), offsets, x.flatten().to_numpy().reshape(-1, len(FEATURES)), quality * (1 - toxic), toxic)
 
 
 def _scored(rows: DataFrame, model: Logistic) -> DataFrame:
