@@ -54,8 +54,8 @@ def node_of(s: np.ndarray) -> np.int64:
 
 
 def bits_of(n: int) -> int:
-    """Bits of the single-bit sketch: a power of two above the set's size, 64 at least."""
-    return max(64, 1 << int(n).bit_length())
+    """Bits of the single-bit sketch: a power of two, two to four times the set's size, so that few shingles share a bit; 64 at least."""
+    return max(64, 2 << int(n).bit_length())
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
@@ -300,7 +300,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = materialise(nodes.join(first, "node").select("id"), "asked")
     sets = rows.join(ids, "id", "left_semi").mapInArrow(_sets, "node bigint, shingles binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(sets, "sets")
+    sets = materialise(sets, "sets", wide=True)
     wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     return materialise(wide.mapInArrow(_verify, "a bigint, b bigint"), "links")
 
@@ -332,7 +332,7 @@ def link_nodes(rows: DataFrame, described: DataFrame) -> DataFrame:
         F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"),
         "node",
     )
-    square = materialise(square.join(told, "node"), "squares")
+    square = materialise(square, "squares")
     round_ = 0
     while True:
         if round_ == 0:
@@ -340,7 +340,8 @@ def link_nodes(rows: DataFrame, described: DataFrame) -> DataFrame:
         else:
             roots = components(links)
             asked = square.join(unsolved, "cell", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        asked = asked.select("cell", "side", "node", "n", "sketch", "root").repartition(n_out, "cell").sortWithinPartitions("cell", "node")
+        # sketches travel once, with the rows of cells that are still open
+        asked = asked.join(told, "node").select("cell", "side", "node", "n", "sketch", "root").repartition(n_out, "cell").sortWithinPartitions("cell", "node")
         found = materialise(asked.mapInArrow(_cells(round_), "a bigint, b bigint, cell bigint, left bigint"), "found")
         new = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
