@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import columns_as, fresh_path
+from .workspace import columns_as, few_files, fresh_path
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -88,7 +88,7 @@ class DigestCache:
         return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+        few_files(rows).write.mode("append").parquet(self.path)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DigestCache | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:

@@ -23,14 +23,20 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/driftline/{uuid.uuid4().hex}/{tag}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def few_files(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt to an eighth of the session's shuffle partitions: many small files cost more than one narrow shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(4, n // 8))
+
+
+def materialise(df: DataFrame, tag: str, wide: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; ``wide`` rows (whole texts) are not shuffled for it.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    (df if wide else few_files(df)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
