@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups that leave-one-group-out repeats all rows for at most; also what bounds its broadcast.
+MOST_GROUPS = 1000
+
+
 def holm(tests: DataFrame, p: str = "p", name: str = "name") -> DataFrame:
     """``tests`` with p_adjusted: the running maximum of min(1, (m - i) p) in the order of p. The family is one analysis: few rows."""
     order = Window.orderBy(p, name)
@@ -81,5 +85,7 @@ def group_folds(sizes: DataFrame, k: int, group: str = "group", n: str = "n") ->
 
 def leave_one_group_out(rows: DataFrame, group: str) -> DataFrame:
     """Every row once per group as (test_group, is_test): the folds of leave-one-group-out, as rows."""
-    groups = rows.select(F.col(group).alias("test_group")).distinct()
+    groups = rows.select(F.col(group).alias("test_group")).distinct().cache()
+    if groups.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups of {group}: every row is repeated for each")
     return rows.crossJoin(F.broadcast(groups)).withColumn("is_test", F.col(group) == F.col("test_group"))
