@@ -1,0 +1,38 @@
+"""Truth and predictions matched one to one by overlap: as many pairs as can be, then the greatest overlap."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.assign import FORBIDDEN, match
+
+
+def match_instances(overlaps: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Matched pairs of each image from ``overlaps`` (image, truth_label, pred_label, iou) of ``threshold`` or more.
+
+    Only pairs over the threshold reach a worker, an image at a time.
+    """
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, i = np.unique(pdf["truth_label"], return_inverse=True)
+        p, j = np.unique(pdf["pred_label"], return_inverse=True)
+        # a pair is worth more than any overlap could be, so pairs are counted first
+        costs = np.full((len(t), len(p)), FORBIDDEN)
+        costs[i, j] = 1 - pdf["iou"]
+        iou = np.zeros(costs.shape)
+        iou[i, j] = pdf["iou"]
+        pairs = match(costs, len(t) + len(p) + 1.0)
+        return pd.DataFrame([(key[0], t[a], p[b], iou[a, b]) for a, b in pairs], columns=["image", "truth_label", "pred_label", "iou"])
+
+    return overlaps.where(F.col("iou") >= threshold).groupBy("image").applyInPandas(run, "image bigint, truth_label bigint, pred_label bigint, iou double")
+
+
+def image_scores(matches: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """tp, fp, fn and mean overlap of every image, from matches and the instances (image, label) of both sides; images with none of either are left out."""
+    t, p = truth.select("image", "label").distinct().groupBy("image").agg(F.count("*").alias("nt")), predicted.select("image", "label").distinct().groupBy("image").agg(F.count("*").alias("np"))
+    m = matches.groupBy("image").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou"))
+    rows = t.join(p, "image", "full").join(m, "image", "left").na.fill(0, ["nt", "np", "tp"])
+    return rows.select("image", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"))

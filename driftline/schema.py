@@ -61,3 +61,11 @@ EVENT_SCALE = Scale.of(pixel_um=0.5, interval_min=60.0)
 SEVERITIES = ("critical", "warning", "info")
 #: Quantiles of chi-square at 0.999 for 2 to 6 degrees of freedom that gate a move.
 MOTION_GATES = {2: 13.816, 3: 16.266, 4: 18.467, 6: 22.458}
+
+
+def tolerant(kind: type, values: dict):
+    """Settings of a dataclass from a stored document: unknown names are passed over, missing ones take their default, lists become tuples."""
+    from dataclasses import fields
+
+    known = {f.name for f in fields(kind)}
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
