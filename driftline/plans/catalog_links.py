@@ -116,3 +116,24 @@ def pixel_history(spark, sf_dir):
 def identity_f1(spark, sf_dir):
     t = obs(spark, sf_dir).where("frame < 200").select("track_id", "frame", "x_px", "y_px")
     return rounded(scoring.identity_f1(t, t.where((F.col("frame") + F.col("track_id")) % 4 > 0), 5.0))
+
+
+def bodies(spark, sf_dir):
+    """Observations of the first 300 frames as rectangles of pixels of their track, growing and shrinking with its key."""
+    o = obs(spark, sf_dir).where("frame < 300")
+    # bodies drift by a pixel or two a frame, so they overlap from one to the next
+    rows = o.select((F.col("track_id") % 6).alias("track_id"), "frame", (F.col("frame") + F.col("track_id") % 3).cast("int").alias("x0"), (F.col("y_px") % 3).cast("int").alias("y0"), (4 + F.col("x_c") % 4).cast("int").alias("w"), (3 + F.col("track_id") % 4).cast("int").alias("h"))
+    px = rows.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("w") - 1))).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("h") - 1)))
+    return px.select("track_id", "frame", "y", "x").distinct()
+
+
+@query(f"""{WITH_OBS}, b AS (SELECT DISTINCT track_id % 6 AS track_id, frame, CAST(frame + track_id % 3 AS INT) AS x0, CAST(y_px AS INT) % 3 AS y0, CAST(4 + x_c % 4 AS INT) AS w, CAST(3 + track_id % 4 AS INT) AS h FROM obs WHERE frame < 300),
+px AS (SELECT DISTINCT track_id, frame, x, CAST(unnest(generate_series(y0, y0 + h - 1)) AS INT) AS y FROM (SELECT *, CAST(unnest(generate_series(x0, x0 + w - 1)) AS INT) AS x FROM b)),
+c AS (SELECT track_id, frame, avg(x) AS cx, avg(y) AS cy FROM px GROUP BY ALL), m AS (SELECT a.track_id, a.frame, a.cx, a.cy, b.cx - a.cx AS mx, b.cy - a.cy AS my FROM c a JOIN c b ON a.track_id = b.track_id AND b.frame = a.frame + 1),
+j AS (SELECT m.track_id, m.frame, coalesce(o.x, n.x) - cx AS px, coalesce(o.y, n.y) - cy AS py, mx, my, o.x IS NULL AS gained, n.x IS NULL AS lost FROM (SELECT * FROM px) o FULL JOIN (SELECT track_id, frame - 1 AS frame, x, y FROM px) n ON o.track_id = n.track_id AND o.frame = n.frame AND o.x = n.x AND o.y = n.y JOIN m ON m.track_id = coalesce(o.track_id, n.track_id) AND m.frame = coalesce(o.frame, n.frame)),
+l AS (SELECT track_id, frame, gained, lost, CASE WHEN px * mx + py * my > abs(px * my - py * mx) THEN 'front' WHEN -(px * mx + py * my) > abs(px * my - py * mx) THEN 'rear' ELSE 'flank' END AS p FROM j)
+SELECT track_id, frame, count(*) FILTER (WHERE NOT gained AND NOT lost) AS n_kept, """ + ", ".join(f"count(*) FILTER (WHERE {c} AND p = '{p}') AS {n}_{p}" for n, c in (("extension", "gained"), ("retraction", "lost")) for p in ("front", "rear", "flank")) + " FROM l GROUP BY track_id, frame")
+def surface_delta(spark, sf_dir):
+    from ..operators.surfaces import surface_delta as delta
+
+    return delta(bodies(spark, sf_dir))
