@@ -12,8 +12,8 @@ blocks, in one order for all, the first floor(n / 3) + 1 hold one that both have
 Candidates must then pass a second parity sketch, of single bits, whose Hamming
 distance bounds the symmetric difference in the same way. What passes is verified
 on the sets. Within a group of nodes sharing a block, pairs are compared but never
-sent out: a group emits a spanning forest of its passing pairs, and further pairs
-only as long as its nodes are in several components.
+sent out: a group emits a spanning forest of its passing pairs, and then, where
+that left its nodes in several components, the verified links that join them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import SPACE, Words, by_bytes, mix, shingles
-from .workspace import columns_as, materialise
+from .workspace import columns_as, materialise, small_batches
 
 SHINGLE = 5
 #: Links take at least NUM / DEN of the union; the bounds in the text above follow from 3 / 4.
@@ -218,53 +218,26 @@ def passing_pairs(n: np.ndarray, sketch: list[bytes], side: np.ndarray) -> tuple
     return i[order], j[order], d[order]
 
 
-def _cells(round_: int):
-    """For each cell of sorted rows (cell, side, node, n, sketch, root): pairs to verify, and a row (cell, left) telling pairs not sent yet.
-
-    Round 0 sends a spanning forest of the passing pairs, nearest first. Later rounds
-    send the pairs between different components whose rank is below a limit that
-    grows eightfold, so all are sent in the end if components stay apart.
-    """
-
-    def solve(cell, side, node, n, sketch, root):
-        i, j, _ = passing_pairs(n, sketch, side)
-        if not len(i):
-            return [], [], 0
-        if round_ == 0:
-            forest = _Forest(len(n))
-            sent = np.array([forest.join(int(x), int(y)) for x, y in zip(i, j, strict=True)])
-            return node[i[sent]], node[j[sent]], int((~sent).sum())
-        low, high = (0 if round_ == 1 else 4 * len(n) * 8 ** (round_ - 2)), 4 * len(n) * 8 ** (round_ - 1)
-        apart = root[i] != root[j]
-        now = apart.copy()
-        now[:low] = False
-        now[high:] = False
-        return node[i[now]], node[j[now]], int(apart[high:].sum())
+def _by_cell(solve, columns: tuple[str, ...], out: pa.Schema):
+    """A worker over rows sorted by cell: ``solve`` gets each cell's columns (numpy; binary ones as lists) and gives rows of ``out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def finish(table: pa.Table):
+        def finish(table: pa.Table) -> pa.RecordBatch:
             cell = table["cell"].to_numpy()
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            cols = [table[c].to_numpy() for c in ("side", "node", "n", "root")]
-            sketch = table["sketch"].to_pylist()
-            a, b, cells, rest = [], [], [], []
+            cols = [table[c].to_pylist() if pa.types.is_binary(table.schema.field(c).type) else table[c].to_numpy() for c in columns]
+            rows: list[tuple] = []
             for lo, hi in zip(first, [*first[1:], len(cell)], strict=True):
-                side, node, n, root = (c[lo:hi] for c in cols)
-                x, y, k = solve(cell[lo], side, node, n, sketch[lo:hi], root)
-                a.extend(x), b.extend(y)
-                if k:
-                    cells.append(cell[lo]), rest.append(k)
-            blank = [None] * len(cells)
-            none = [None] * len(a)
-            return pa.RecordBatch.from_arrays([pa.array([*a, *blank], pa.int64()), pa.array([*b, *blank], pa.int64()), pa.array([*none, *cells], pa.int64()), pa.array([*none, *rest], pa.int64())], names=["a", "b", "cell", "left"])
+                rows.extend(solve(int(cell[lo]), *[c[lo:hi] for c in cols]))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             cell = batch.column("cell").to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1], side="left")) if cell[0] <= cell[-1] else 0
+            cut = int(np.searchsorted(cell, cell[-1], side="left"))
             if cut:
                 yield finish(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
@@ -275,14 +248,51 @@ def _cells(round_: int):
     return run
 
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())])
+_NODES = pa.schema([("cell", pa.int64()), ("side", pa.int32()), ("node", pa.int64())])
+
+
+def _forest(cell, side, node, n, sketch):
+    """A spanning forest of the cell's passing pairs, nearest first; and the cell itself, if there were more."""
+    i, j, _ = passing_pairs(n, sketch, side)
+    forest = _Forest(len(n))
+    sent = [(int(node[x]), int(node[y]), None) for x, y in zip(i, j, strict=True) if forest.join(int(x), int(y))]
+    return [*sent, (None, None, cell)] if len(sent) < len(i) else sent
+
+
+def _undecided(cell, side, node, n, sketch, root):
+    """Nodes with a passing pair to another component."""
+    i, j, _ = passing_pairs(n, sketch, side)
+    apart = root[i] != root[j]
+    return [(cell, int(side[k]), int(node[k])) for k in np.unique(np.concatenate([i[apart], j[apart]]))]
+
+
+def _bridges(cell, side, node, n, sketch, root, shingles_):
+    """Verified links between components, as many as join what the cell's links join."""
+    i, j, _ = passing_pairs(n, sketch, side)
+    _, comp = np.unique(root, return_inverse=True)
+    forest = _Forest(len(comp))
+    sets = [np.frombuffer(x, np.uint64) for x in shingles_]
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        if forest.root(int(comp[x])) != forest.root(int(comp[y])) and _linked(sets[x], sets[y]):
+            forest.join(int(comp[x]), int(comp[y]))
+            out.append((int(node[x]), int(node[y]), None))
+    return out
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DEN * both >= NUM * (len(x) + len(y) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, dtype=bool)
         xa, xb = batch.column("xa"), batch.column("xb")
         for i in range(batch.num_rows):
             x, y = np.frombuffer(xa[i].as_py(), np.uint64), np.frombuffer(xb[i].as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = DEN * both >= NUM * (len(x) + len(y) - both)
+            keep[i] = _linked(x, y)
         mask = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -295,12 +305,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets link: the sets of the nodes in question are built anew from one text each."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(nodes: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes asked for, built anew from one text each."""
     ids = materialise(nodes.join(first, "node").select("id"), "asked")
     sets = rows.join(ids, "id", "left_semi").mapInArrow(_sets, "node bigint, shingles binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(sets, "sets", wide=True)
+    return materialise(sets, "sets", wide=True)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets link."""
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), rows, first)
     wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     return materialise(wide.mapInArrow(_verify, "a bigint, b bigint"), "links")
 
@@ -333,24 +347,29 @@ def link_nodes(rows: DataFrame, described: DataFrame) -> DataFrame:
         "node",
     )
     square = materialise(square, "squares")
-    round_ = 0
-    while True:
-        if round_ == 0:
-            asked = square.withColumn("root", F.col("node"))
-        else:
-            roots = components(links)
-            asked = square.join(unsolved, "cell", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # sketches travel once, with the rows of cells that are still open
-        asked = asked.join(told, "node").select("cell", "side", "node", "n", "sketch", "root").repartition(n_out, "cell").sortWithinPartitions("cell", "node")
-        found = materialise(asked.mapInArrow(_cells(round_), "a bigint, b bigint, cell bigint, left bigint"), "found")
-        new = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-        new = materialise(new, "pairs")
-        if new.limit(1).count():
-            links = materialise(links.unionByName(_verified(new, rows, first.select("node", "id"))), "links")
-        unsolved = materialise(found.where("left > 0").select("cell").distinct(), "unsolved")
-        round_ += 1
-        if not unsolved.limit(1).count():
-            return links
+
+    def in_cells(df: DataFrame) -> DataFrame:
+        return df.repartition(n_out, "cell").sortWithinPartitions("cell", "node")
+
+    base = ("side", "node", "n", "sketch")
+    found = in_cells(square.join(told, "node")).mapInArrow(_by_cell(_forest, base, _PAIRS), "a bigint, b bigint, cell bigint")
+    found = materialise(found, "found")
+    new = materialise(found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = materialise(links.unionByName(_verified(new, rows, first.select("node", "id"))), "links")
+    unsolved = materialise(found.where("cell is not null").select("cell"), "unsolved")
+    if not unsolved.limit(1).count():
+        return links
+    # where a forest left pairs out, nodes with such pairs to another component are compared on their sets, cell by cell
+    roots = components(links)
+    asked = square.join(unsolved, "cell", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    asked = in_cells(asked.join(told, "node")).mapInArrow(_by_cell(_undecided, (*base, "root"), _NODES), "cell bigint, side int, node bigint")
+    asked = materialise(asked, "undecided")
+    if not asked.limit(1).count():
+        return links
+    sets = _sets_of(asked.select("node").distinct(), rows, first.select("node", "id"))
+    full = asked.join(told, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets, "node")
+    bridges = in_cells(full).mapInArrow(_by_cell(_bridges, (*base, "root", "shingles"), _PAIRS), "a bigint, b bigint, cell bigint")
+    return materialise(links.unionByName(bridges.select("a", "b").distinct()), "links")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,6 +382,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one document if their texts are equal, and else link as their texts do. An
     empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = columns_as(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
     described = materialise(rows.mapInArrow(_describe, f"id {kind}, n bigint, node bigint, sketch binary"), "described")
