@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .words import LOOSE, Words, by_bytes, mix, shingles
+from .workspace import small_batches
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, FLIPS = 8, 16, 3
@@ -225,6 +226,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
     each by itself; of windows equally similar the first is told. Empty tables on
     either side give no leaks.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col(f"`{text_col}`").alias("__text"), F.from_json(F.lit("[]"), _LEAK).alias("leaks"))
     for items in item_blocks(benchmark, item_col, item_text_col):
         rows = _pass(rows, items, threshold)

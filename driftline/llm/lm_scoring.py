@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .elias_fano import EliasFano
 from .shared_files import map_arrays, qualified, write_arrays
 from .words import SPACE, Words, by_bytes, mix
-from .workspace import columns_as, fresh_path, materialise
+from .workspace import columns_as, fresh_path, materialise, small_batches
 
 #: Words of one vocabulary file, about.
 SEGMENT_WORDS = 1 << 19
@@ -313,6 +313,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is left to train on, both scores are those of an empty vocabulary. An empty
     table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = columns_as(docs, id=id_col, text=text_col)
     rows = rows.withColumn("held_out", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % folds == held_fold)
     model = train(rows)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .docstats import FEATURES, statistics
 from .words import LOOSE, Words, by_bytes, mix, shingles
-from .workspace import bounded_sample, columns_as, materialise
+from .workspace import bounded_sample, columns_as, materialise, small_batches
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of their id.
 MAX_TRAIN = 20_000
@@ -204,6 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     by itself, whatever their id. Without labels of both classes the document model
     is a constant. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, quality_col, toxic_col, max_train)
 
     def site(c: str | None):

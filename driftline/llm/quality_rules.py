@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .docstats import COUNTS, FEATURES, statistics
-from .workspace import bounded_sample, columns_as, materialise
+from .workspace import bounded_sample, columns_as, materialise, small_batches
 
 #: Labelled documents that the trees are fitted on at most, chosen by a hash of their id.
 MAX_TRAIN = 20_000
@@ -59,6 +59,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     constant, and with no label at all one half, which keeps what the base rules
     keep. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     stats = materialise(measured(docs, id_col, text_col), "statistics")
     model = train(stats, labels, id_col, label_col, max_train)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import columns_as, few_files, fresh_path
+from .workspace import columns_as, few_files, fresh_path, small_batches
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -101,6 +101,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DigestCache | None
     two named are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     tokenizer = tokenizer_version(tokenizer_path)
     cache = cache or DigestCache(spark, fresh_path(spark, "token_cache"))
     content = columns_as(docs, id=id_col, content=text_col).withColumn("content", F.coalesce("content", F.lit("")))

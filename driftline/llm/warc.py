@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import columns_as, fresh_path, materialise
+from .workspace import columns_as, fresh_path, materialise, small_batches
 
 #: Payloads under this size are never deduplicated.
 LEAST_REVISIT = 1000
@@ -207,6 +207,7 @@ def archive_and_index(pages: DataFrame, path: str | None = None, **columns: str)
 
     An empty table gives no archives with records and an empty result.
     """
+    small_batches(pages.sparkSession)
     path = path or fresh_path(pages.sparkSession, "archives")
     write_archives(pages, path, **columns)
     return merge_index(read_archives(pages.sparkSession, path))

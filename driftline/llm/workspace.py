@@ -47,6 +47,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of rows that go to a worker at once; some copies of them are in memory on either side.
+BATCH_BYTES = 8 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of whole texts that workers get; a session with a bound of its own keeps it."""
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """``rows`` if there are no more than ``most``, else those with the least hashes of ``key``: ``most`` or somewhat fewer.
 
