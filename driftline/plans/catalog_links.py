@@ -70,8 +70,8 @@ def z_link(spark, sf_dir):
 
 
 def pixels(spark, sf_dir):
-    """Every observation of the first 48 frames drawn as a rectangle of pixels, later labels behind: label rows of a small movie."""
-    o = obs(spark, sf_dir).where("frame < 48")
+    """Every observation drawn as a rectangle of pixels, later labels behind: label rows of a small movie."""
+    o = obs(spark, sf_dir)
     rows = o.select("frame", F.col("det_label").alias("label"), F.col("x_px").cast("int").alias("x0"), F.col("y_px").cast("int").alias("y0"), (3 + F.col("track_id") % 5).cast("int").alias("w"), (3 + F.col("x_c") % 4).cast("int").alias("h"))
     px = rows.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("w") - 1))).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("h") - 1)))
     return px.groupBy("frame", "y", "x").agg(F.min("label").alias("label")).withColumn("value", ((F.col("x") * 7 + F.col("y") * 3 + F.col("frame")) % 50).cast("double"))
