@@ -114,13 +114,13 @@ def pixel_history(spark, sf_dir):
 
 @query(f"{WITH_OBS}, t AS (SELECT track_id, frame, x_px, y_px FROM obs WHERE frame < 200), f AS (SELECT * FROM t WHERE (frame + track_id) % 4 > 0), h AS (SELECT t.track_id AS true_id, f.track_id, count(*) AS hits FROM t JOIN f ON t.frame = f.frame AND sqrt((t.x_px - f.x_px) * (t.x_px - f.x_px) + (t.y_px - f.y_px) * (t.y_px - f.y_px)) <= 5 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY true_id ORDER BY hits DESC, track_id) AS k FROM h), b AS (SELECT * FROM k WHERE k = 1) SELECT n.track_id AS true_id, b.track_id, coalesce(hits, 0) AS hits, round(coalesce(2 * hits / (n.n + m.n), 0), 6) AS f1 FROM (SELECT track_id, count(*) AS n FROM t GROUP BY 1) n LEFT JOIN b ON b.true_id = n.track_id LEFT JOIN (SELECT track_id, count(*) AS n FROM f GROUP BY 1) m ON m.track_id = b.track_id")
 def identity_f1(spark, sf_dir):
-    t = obs(spark, sf_dir).where("frame < 200").select("track_id", "frame", "x_px", "y_px")
+    t = obs(spark, sf_dir).select("track_id", "frame", "x_px", "y_px")
     return rounded(scoring.identity_f1(t, t.where((F.col("frame") + F.col("track_id")) % 4 > 0), 5.0))
 
 
 def bodies(spark, sf_dir):
-    """Observations of the first 300 frames as rectangles of pixels of their track, growing and shrinking with its key."""
-    o = obs(spark, sf_dir).where("frame < 300")
+    """Observations as rectangles of pixels of their track, growing and shrinking with its key."""
+    o = obs(spark, sf_dir)
     # bodies drift by a pixel or two a frame, so they overlap from one to the next
     rows = o.select((F.col("track_id") % 6).alias("track_id"), "frame", (F.col("frame") + F.col("track_id") % 3).cast("int").alias("x0"), (F.col("y_px") % 3).cast("int").alias("y0"), (4 + F.col("x_c") % 4).cast("int").alias("w"), (3 + F.col("track_id") % 4).cast("int").alias("h"))
     px = rows.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("w") - 1))).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("h") - 1)))

@@ -10,9 +10,10 @@ from driftline.plans import catalog, catalog_audit, catalog_extra, catalog_links
 from .test_catalog import SF, same
 
 PIXELS = ["region_metrics", "filter_diagnostics", "instance_filter", "pixel_overlap", "pixel_history"]
+SCORES = ["identity_f1", "surface_delta"]
 
 
-@pytest.mark.parametrize("name", PIXELS)
+@pytest.mark.parametrize("name", PIXELS + SCORES)
 def test_every_frame(spark, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
