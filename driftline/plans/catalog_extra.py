@@ -29,7 +29,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY track_id, frame ORDER BY offset_
 SELECT track_id, frame, label, round(offset_px, 6) AS offset_px FROM k WHERE k = 1""")
 def recovery_candidates(spark, sf_dir):
     o = obs(spark, sf_dir)
-    return rounded(gates.recovery_candidates(o.where("source = 'primary' and frame < 120"), o.where("source <> 'primary'").withColumnRenamed("det_label", "label")))
+    return rounded(gates.recovery_candidates(o.where("source = 'primary'"), o.where("source <> 'primary'").withColumnRenamed("det_label", "label")))
 
 
 @query(f"""{WITH_OBS}, v AS (SELECT track_id, frame, (frame - lag(frame) OVER w) * 60.0::DOUBLE AS dt, (frame - first_value(frame) OVER w) * 60.0::DOUBLE AS elapsed_min, (x_px - lag(x_px) OVER w) * 0.5::DOUBLE / ((frame - lag(frame) OVER w) * 60.0::DOUBLE) AS vx, (y_px - lag(y_px) OVER w) * 0.5::DOUBLE / ((frame - lag(frame) OVER w) * 60.0::DOUBLE) AS vy, (area_px - lag(area_px) OVER w) * 0.25::DOUBLE / ((frame - lag(frame) OVER w) * 60.0::DOUBLE) AS da_dt FROM obs WINDOW w AS (PARTITION BY track_id ORDER BY frame))

@@ -11,9 +11,10 @@ from .test_catalog import SF, same
 
 PIXELS = ["region_metrics", "filter_diagnostics", "instance_filter", "pixel_overlap", "pixel_history"]
 SCORES = ["identity_f1", "surface_delta"]
+GAPS = ["recovery_candidates", "recovery_attribution"]
 
 
-@pytest.mark.parametrize("name", PIXELS + SCORES)
+@pytest.mark.parametrize("name", PIXELS + SCORES + GAPS)
 def test_every_frame(spark, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
