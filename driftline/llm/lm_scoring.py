@@ -2,16 +2,17 @@
 
 The first level is the training corpus's vocabulary: word hashes in order, as
 Elias-Fano sequences, with exact counts; a word's id is its place. The second level
-has, for every word, the words that follow it twice or more: monotone pointers from
-a word to its successors, the successors' ids made monotone by running sums, and
-quantised smoothed probabilities. Both levels lie in files of bounded size in the
-shared folder, which workers map into memory. A bigram is looked up by successor
-search relative to the start of its context's range.
-
-The model interpolates with absolute discounting: P(w|u) = a(u, w) + g(u) P(w),
-a(u, w) = (c(u, w) - D) / c(u) for kept pairs and else 0, g(u) what is left. A pair
-seen twice has words seen twice, so words seen once are left out of counting pairs
-without loss.
+has, for every word, the words that follow it, and the third, for every pair of the
+second, the words that follow the pair: monotone pointers from a context to its
+successors, the successors' ids made monotone by running sums, and quantised smoothed
+probabilities. A pair's place in the second level is its context in the third, so a
+lookup is a chain of successor searches, each relative to the start of its context's
+range. All levels lie in files in the shared folder, cut by tokens of their first
+words, which workers map into memory.
+
+The model interpolates with absolute discounting: P(w|h) = a(h, w) + g(h) P(w|h'),
+h' the context without its first word, a(h, w) = (c(h, w) - D) / c(h) for kept n-grams
+and else 0, g(h) what is left, and 1 for contexts that the trie does not have.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
 from .shared_files import map_arrays, qualified, write_arrays
-from .words import SPACE, Words, by_bytes, mix
+from .words import SPACE, Words, by_bytes
 from .workspace import columns_as, fresh_path, materialise, small_batches
 
 #: Words of one vocabulary file, about.
 SEGMENT_WORDS = 1 << 19
 #: Tokens counted in a worker before counts are sent on; characters scored at once.
 COUNT_TOKENS, SCORE_CHARS = 1 << 21, 1 << 22
-#: Least count of a kept pair, and the discount.
+#: Training tokens whose n-grams share a file, about: those of one word are never parted.
+FILE_TOKENS = 1 << 21
+#: Least count of a kept n-gram if none is asked for, and the discount.
 LEAST_PAIR, DISCOUNT = 2, 0.75
 #: Log probabilities are kept as multiples of 1 / GRID in 16 bits.
 GRID = 1024
@@ -56,13 +59,18 @@ def decode(code: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Where the files are, and the few numbers per file that lookups need."""
+    """Where the files are, and the few numbers per file that lookups need.
+
+    ``cuts`` are the first word ids of the n-gram files in ``grams``, and the end.
+    """
 
     bits: int
     total: int
     words: list[str | None] = field(default_factory=list)
     base: list[int] = field(default_factory=list)
-    pairs: list[str | None] = field(default_factory=list)
+    order: int = 2
+    cuts: list[int] = field(default_factory=list)
+    grams: list[str | None] = field(default_factory=list)
 
     @property
     def distinct(self) -> int:
@@ -93,29 +101,84 @@ class Model:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def follow(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a(u, w), g(u)) for pairs of ids; ``u`` is sorted, and none is negative."""
-        a, g = np.zeros(len(u)), np.ones(len(u))
-        edges = np.searchsorted(u, self.base)
-        for s in np.flatnonzero(np.diff(edges)):
-            if self.pairs[s] is None:
+    def follow(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """a(u, v), g(u), a(uv, w) and g(uv) of triples of ids in order; ``u`` has no -1, which is unknown or none in the others."""
+        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(first, len(u)))
+        pair_u, pair_v = u[first], v[first]
+        a, g, g2, a2 = np.zeros(len(first)), np.ones(len(first)), np.ones(len(first)), np.zeros(len(u))
+        edges = np.searchsorted(pair_u, self.cuts)
+        for f in np.flatnonzero(np.diff(edges)):
+            if self.grams[f] is None:
                 continue
-            x = map_arrays(self.pairs[s])
-            pointers, successors, code, rest = EliasFano.of(x[:4]), EliasFano.of(x[4:8]), x[8], x[9]
-            part = np.arange(edges[s], edges[s + 1])
-            context = u[part] - self.base[s]
-            begin, end = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
-            g[part] = decode(rest[context])
-            some = np.flatnonzero(end > begin)
-            part, begin, end = part[some], begin[some], end[some]
-            if not len(part):
+            x = map_arrays(self.grams[f])
+            part = np.arange(edges[f], edges[f + 1])
+            at, a[part], g[part] = _Level(x[:10]).follow(pair_u[part] - self.cuts[f], pair_v[part])
+            if self.order < 3:
                 continue
+            known = np.flatnonzero(at >= 0)
+            n = size[part[known]]
+            # the triples of the known pairs
+            row = np.repeat(first[part[known]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            two = _Level(x[10:20])
+            g2[part[known]] = two.rest(at[known])
+            row_at = np.repeat(at[known], n)
+            asked = np.flatnonzero(w[row] >= 0)
+            a2[row[asked]] = two.follow(row_at[asked], w[row[asked]])[1]
+        return np.repeat(a, size), np.repeat(g, size), a2, np.repeat(g2, size)
+
+
+class _Level:
+    """Successors of the level before: pointers from a context to its range, successors, and both kinds of probabilities."""
+
+    def __init__(self, x: list[np.ndarray]):
+        self.pointers, self.successors, self.code, self.left = EliasFano.of(x[:4]), EliasFano.of(x[4:8]), x[8], x[9]
+
+    @staticmethod
+    def build(context: np.ndarray, w: np.ndarray, n: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """From n-grams in order and the counts of all contexts."""
+        p = (n - DISCOUNT) / counts[context]
+        rest = 1 - np.bincount(context, p, len(counts))
+        # a context's ids start from one past the last value of the context before
+        first = np.append(True, context[1:] != context[:-1])[: len(context)]
+        ends = np.flatnonzero(np.append(first[1:], True)[: len(context)])
+        step = np.cumsum(w[ends] + 1)
+        start = np.append(0, step)[np.cumsum(first) - 1]
+        successors = EliasFano.build((start + w).astype(np.uint64), int(step[-1]) + 1 if len(step) else 1)
+        pointers = EliasFano.build(np.append(0, np.cumsum(np.bincount(context, minlength=len(counts)))).astype(np.uint64), len(w) + 1)
+        return [*pointers.arrays(), *successors.arrays(), encode(p), encode(rest)]
+
+    def rest(self, context: np.ndarray) -> np.ndarray:
+        return decode(self.left[context])
+
+    def follow(self, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place (or -1) and a of each n-gram, and g of its context; ``w`` is -1 for unknown words."""
+        place, a = np.full(len(context), -1, dtype=np.int64), np.zeros(len(context))
+        begin, end = self.pointers.access(context).astype(np.int64), self.pointers.access(context + 1).astype(np.int64)
+        some = np.flatnonzero((end > begin) & (w >= 0))
+        begin, end = begin[some], end[some]
+        if len(some):
             # running sums start anew, from the last value before it, in each context's range
-            start = np.where(begin > 0, successors.access(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-            at = successors.find(start + w[part].astype(np.uint64))
+            start = np.where(begin > 0, self.successors.access(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+            at = self.successors.find(start + w[some].astype(np.uint64))
             hit = (at >= begin) & (at < end)
-            a[part[hit]] = decode(code[at[hit]])
-        return a, g
+            place[some[hit]] = at[hit]
+            a[some[hit]] = decode(self.code[at[hit]])
+        return place, a, self.rest(context)
+
+
+def _triples(i: np.ndarray, j: np.ndarray, k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the distinct triples of numbers from -1 to n - 1, in order; each triple's number among them; and counts."""
+    if n < (1 << 21) - 1:
+        m = n + 1
+        _, at, back, count = np.unique(((i + 1) * m + j + 1) * m + k + 1, return_index=True, return_inverse=True, return_counts=True)
+        return at, back, count
+    order = np.lexsort((k, j, i))
+    a, b, c = i[order], j[order], k[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))[: len(i)]
+    back = np.empty(len(i), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back, np.diff(np.append(np.flatnonzero(new), len(i)))
 
 
 def _train_rows(docs: DataFrame) -> DataFrame:
@@ -140,7 +203,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _write_words(folder: str, bits: int):
+def _write_words(folder: str, bits: int, file_tokens: int):
     def run(table: pa.Table) -> pa.Table:
         segment = table["segment"][0].as_py()
         word, n = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy()
@@ -149,34 +212,38 @@ def _write_words(folder: str, bits: int):
         big = np.flatnonzero(n >= 255)
         span = 64 - bits
         ef = EliasFano.build(word & np.uint64((1 << span) - 1), 1 << span)
+        # a file of n-grams starts at the first word after so many tokens
+        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // file_tokens)) + 1
         path = f"{folder}/words-{segment}"
         write_arrays(path, [*ef.arrays(), np.minimum(n, 255).astype(np.uint8), big.astype(np.int64), n[big].astype(np.int64)])
-        return pa.table({"segment": pa.array([segment], pa.int64()), "path": [path], "n": pa.array([len(word)], pa.int64())})
+        return pa.table({"segment": pa.array([segment], pa.int64()), "path": [path], "n": pa.array([len(word)], pa.int64()), "cuts": pa.array([cuts.tolist()], pa.list_(pa.int64()))})
 
     return run
 
 
-def _count_pairs(model: Model):
+def _count_grams(model: Model):
+    """Counts of n-grams (u, v, w) with the file of u; w is -1 after a pair that ends its text, and for order 2."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             h = np.concatenate([x for x, _ in held])
-            last = np.zeros(len(h), dtype=bool)
+            last = np.zeros(len(h) + 1, dtype=bool)
             at = 0
             for x, offset in held:
                 last[at + offset[1:] - 1] = True
                 at += len(x)
             held.clear()
             words, inverse = np.unique(h, return_inverse=True)
-            ids, counts = model.lookup(words)
-            ids = np.where(counts >= LEAST_PAIR, ids, -1)[inverse]
-            i = np.flatnonzero(~last[:-1] & (ids[:-1] >= 0) & (ids[1:] >= 0))
-            u, w = ids[i], ids[i + 1]
-            order = np.lexsort((w, u)) if model.distinct >= 1 << 31 else np.argsort(u << 32 | w)
-            u, w = u[order], w[order]
-            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(w[first]), pa.array(np.diff(np.append(first, len(u))).astype(np.int32))], names=["u", "w", "n"])
+            ids, _ = model.lookup(words)
+            i = np.flatnonzero(~last[:-1])
+            u, v = inverse[i], inverse[i + 1]
+            w = np.where(last[i + 1], -1, np.append(inverse, -1)[i + 2]) if model.order > 2 else np.full(len(i), -1)
+            at, _, n = _triples(u, v, w, len(words))
+            u, v, w = ids[u[at]], ids[v[at]], np.where(w[at] < 0, -1, ids[w[at]])
+            file = np.searchsorted(model.cuts, u, side="right") - 1
+            return pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), pa.array(u), pa.array(v), pa.array(w), pa.array(n.astype(np.int32))], names=["file", "u", "v", "w", "n"])
 
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -190,62 +257,56 @@ def _count_pairs(model: Model):
     return run
 
 
-def _sum_pairs(model: Model):
-    """Sorted (u, w, n) in; kept pairs with their sums and the file they belong to out."""
+def _write_grams(folder: str, model: Model, least: int):
+    """Rows (file, u, v, w, n) sorted by u in; files written and their names out."""
+
+    def write(file: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        lo, hi = model.cuts[file], model.cuts[file + 1]
+        segment = int(np.searchsorted(model.base, lo, side="right")) - 1
+        words = map_arrays(model.words[segment])
+        counts = words[4].astype(np.int64)
+        counts[words[5]] = words[6]
+        counts = counts[lo - model.base[segment] : hi - model.base[segment]]
+        order = np.lexsort((w, v, u))
+        u, v, w, n = u[order], v[order], w[order], n[order]
+        pair = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))
+        first = np.flatnonzero(pair | np.append(True, w[1:] != w[:-1]))
+        u, v, w, n, pair = u[first], v[first], w[first], np.add.reduceat(n, first), pair[first]
+        start = np.flatnonzero(pair)
+        times = np.add.reduceat(n, start)
+        keep = times >= least
+        arrays = _Level.build(u[start][keep] - lo, v[start][keep], times[keep], counts)
+        if model.order > 2:
+            context = (np.cumsum(keep) - 1)[np.cumsum(pair) - 1]
+            kept = (w >= 0) & (n >= least)
+            arrays += _Level.build(context[kept], w[kept], n[kept], times[keep])
+        path = f"{folder}/grams-{file}"
+        write_arrays(path, arrays)
+        return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([path])], names=["file", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.zeros((3, 0), dtype=np.int64)
-
-        def kept(u, w, n):
-            keep = n >= LEAST_PAIR
-            segment = np.searchsorted(model.base, u[keep], side="right") - 1
-            return pa.RecordBatch.from_arrays([pa.array(segment), pa.array(u[keep]), pa.array(w[keep]), pa.array(n[keep])], names=["segment", "u", "w", "n"])
-
+        held: list[np.ndarray] = []
+        now = -1
         for b in batches:
-            u, w, n = (np.concatenate([t, b.column(c).to_numpy().astype(np.int64)]) for t, c in zip(tail, ("u", "w", "n"), strict=True))
-            if not len(u):
+            if not b.num_rows:
                 continue
-            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-            total = np.add.reduceat(n, first)
-            tail = np.array([[u[first[-1]]], [w[first[-1]]], [total[-1]]], dtype=np.int64)
-            yield kept(u[first[:-1]], w[first[:-1]], total[:-1])
-        if tail.shape[1]:
-            yield kept(*tail)
-
-    return run
-
-
-def _write_pairs(folder: str, model: Model):
-    def run(table: pa.Table) -> pa.Table:
-        segment = table["segment"][0].as_py()
-        u, w, n = (table[c].to_numpy() for c in ("u", "w", "n"))
-        order = np.lexsort((w, u))
-        context, w, n = u[order] - model.base[segment], w[order], n[order]
-        words = model.base[segment + 1] - model.base[segment]
-        a = map_arrays(model.words[segment])
-        counts = a[4].astype(np.int64)
-        counts[a[5]] = a[6]
-        p = (n - DISCOUNT) / counts[context]
-        rest = 1 - np.bincount(context, p, words)
-        first = np.concatenate([[True], context[1:] != context[:-1]])
-        # a context's ids start from one past the last value of the context before
-        ends = np.flatnonzero(np.append(first[1:], True))
-        step = np.cumsum(w[ends] + 1)
-        start = np.concatenate([[0], step[:-1]])[np.cumsum(first) - 1]
-        successors = EliasFano.build((start + w).astype(np.uint64), int(step[-1]) + 1)
-        pointers = EliasFano.build(np.concatenate([[0], np.cumsum(np.bincount(context, minlength=words))]).astype(np.uint64), len(w) + 1)
-        path = f"{folder}/pairs-{segment}"
-        write_arrays(path, [*pointers.arrays(), *successors.arrays(), encode(p), encode(rest)])
-        return pa.table({"segment": pa.array([segment], pa.int64()), "path": [path], "n": pa.array([len(w)], pa.int64())})
+            file = b.column("file").to_numpy()
+            rows = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("u", "v", "w", "n")])
+            edges = [0, *(np.flatnonzero(file[1:] != file[:-1]) + 1).tolist(), len(file)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if file[lo] != now and held:
+                    yield write(now, *np.concatenate(held, axis=1))
+                    held.clear()
+                now = int(file[lo])
+                held.append(rows[:, lo:hi])
+        if held:
+            yield write(now, *np.concatenate(held, axis=1))
 
     return run
 
 
-_FILES = "segment bigint, path string, n bigint"
-
-
-def train(docs: DataFrame) -> Model:
-    """The trie of ``docs`` (text, held_out): the rows that are not held out."""
+def train(docs: DataFrame, order: int = 2, least: int = LEAST_PAIR) -> Model:
+    """The trie of ``docs`` (text, held_out): the rows that are not held out. N-grams of two words or more count from ``least`` times on."""
     spark = docs.sparkSession
     folder = qualified(spark, fresh_path(spark, "trie"))
     n_out = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -255,15 +316,17 @@ def train(docs: DataFrame) -> Model:
     bits = max(0, (distinct // SEGMENT_WORDS).bit_length())
     # hashes are uniform, so their top bits cut the vocabulary into equal files
     segment = F.shiftrightunsigned("word", 64 - bits) if bits else F.lit(0).cast("bigint")
-    files = {r.segment: r for r in vocabulary.withColumn("segment", segment).groupBy("segment").applyInArrow(_write_words(folder, bits), _FILES).collect()}
+    written = vocabulary.withColumn("segment", segment).groupBy("segment").applyInArrow(_write_words(folder, bits, FILE_TOKENS), "segment bigint, path string, n bigint, cuts array<bigint>")
+    files = {r.segment: r for r in written.collect()}
     sizes = [files[s].n if s in files else 0 for s in range(1 << bits)]
-    model = Model(bits, total, [files[s].path if s in files else None for s in range(1 << bits)], np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist(), [None] * (1 << bits))
-    pairs = _train_rows(docs).mapInArrow(_count_pairs(model), "u bigint, w bigint, n int")
-    # a worker has summed its own pairs already; sorting and adding neighbours does the rest
-    pairs = pairs.repartition(n_out, "u", "w").sortWithinPartitions("u", "w").mapInArrow(_sum_pairs(model), "segment bigint, u bigint, w bigint, n bigint")
-    pairs = materialise(pairs, "pairs")
-    for r in pairs.groupBy("segment").applyInArrow(_write_pairs(folder, model), _FILES).collect():
-        model.pairs[r.segment] = r.path
+    base = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
+    cuts = sorted({*base, *(base[s] + c for s, r in files.items() for c in r.cuts)})
+    model = Model(bits, total, [files[s].path if s in files else None for s in range(1 << bits)], base, order, cuts, [None] * (len(cuts) - 1))
+    grams = _train_rows(docs).mapInArrow(_count_grams(model), "file int, u bigint, v bigint, w bigint, n int")
+    # a worker has summed its own n-grams already; the one that gets a file's rows adds them up and writes it
+    grams = grams.repartition(n_out, "file").sortWithinPartitions("u").mapInArrow(_write_grams(folder, model, least), "file bigint, path string")
+    for r in grams.collect():
+        model.grams[r.file] = r.path
     return model
 
 
@@ -280,19 +343,21 @@ def _score(model: Model):
                 doc = np.repeat(np.arange(hi - lo), np.diff(offset))
                 base = np.bincount(doc, np.log10(one)[inverse], hi - lo)
                 known = np.bincount(doc, (counts > 0)[inverse], hi - lo).astype(np.int64)
-                # pairs that the trie could have; others have no context's weight to fall back from
-                usable = np.where(counts >= 1, ids, -1)[inverse]
-                i = np.flatnonzero((doc[1:] == doc[:-1]) & (usable[:-1] >= 0))
+                # contexts that the trie could have; others have no weight to fall back from
+                usable = np.where(counts >= 1, ids, -1)
                 p = one[inverse]
+                i = np.flatnonzero((doc[1:] == doc[:-1]) & (usable[inverse[:-1]] >= 0))
                 if len(i):
-                    names = mix(words[inverse[i]] * np.uint64(0x9E3779B97F4A7C15) + words[inverse[i + 1]])
-                    _, at, back = np.unique(names, return_index=True, return_inverse=True)
-                    u, w = usable[i[at]], usable[i[at] + 1]
-                    order = np.argsort(u, kind="stable")
-                    a, g = np.zeros(len(at)), np.ones(len(at))
-                    a[order], g[order] = model.follow(u[order], np.maximum(w[order], 0))
-                    a[w < 0] = 0
-                    p[i + 1] = a[back] + g[back] * p[i + 1]
+                    third = np.append(doc, -1)[i + 2] == doc[i]
+                    u, v = inverse[i], inverse[i + 1]
+                    w = np.where(third, np.append(inverse, -1)[i + 2], -1) if model.order > 2 else np.full(len(i), -1)
+                    at, back, _ = _triples(u, v, w, len(words))
+                    # places of words known and unknown are in the order of hashes, as ids of known ones are
+                    a, g, a2, g2 = (x[back] for x in model.follow(usable[u[at]], usable[v[at]], np.append(usable, -1)[w[at]]))
+                    p[i + 1] = a + g * p[i + 1]
+                    if model.order > 2:
+                        j = i[third]
+                        p[j + 2] = a2[third] + g2[third] * p[j + 2]
                 score = np.bincount(doc, np.log10(p), hi - lo)
                 out.append((np.diff(offset), known, base, score))
             if out:
@@ -302,21 +367,22 @@ def _score(model: Model):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, order: int = 2, least: int = LEAST_PAIR) -> DataFrame:
     """Every row with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are the words of a text (A-Z in lower case, between blanks) and one end;
     a null text is empty and has only the end. Rows whose crc32 of the id as text
     leaves ``held_fold`` by ``folds`` are held out; a null id is the text ''. Both
     scores are log10 probabilities: base_score of the smoothed unigram model, score
-    of the trie's. Repeated rows are counted and scored each by itself. If nothing
+    of the trie's. Repeated rows are counted and scored each by itself. ``order`` is 2 or 3; pairs and triples
+    seen less than ``least`` times are left out, and none for 1. If nothing
     is left to train on, both scores are those of an empty vocabulary. An empty
     table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = columns_as(docs, id=id_col, text=text_col)
     rows = rows.withColumn("held_out", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % folds == held_fold)
-    model = train(rows)
+    model = train(rows, order, least)
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return rows.mapInArrow(_score(model), schema).withColumnRenamed("id", id_col)
