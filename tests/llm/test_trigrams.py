@@ -7,7 +7,9 @@ import zlib
 import pytest
 
 from driftline.llm import lm_scoring
+from driftline.llm.queries import op8_lm_scoring
 
+from ..test_catalog import SF
 from . import brute
 from .test_operators import ROWS, by_id, docs  # noqa: F401
 
@@ -33,7 +35,7 @@ def plain(rows, least):
     return {d: sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))) for d, w in tokens.items()}
 
 
-@pytest.mark.parametrize(("least", "small"), [(2, False), (2, True)])
+@pytest.mark.parametrize(("least", "small"), [(2, False), (2, True), (1, True)])
 def test_order_three(docs, monkeypatch, least, small):  # noqa: F811
     if small:
         monkeypatch.setattr(lm_scoring, "SEGMENT_WORDS", 20)
@@ -42,3 +44,10 @@ def test_order_three(docs, monkeypatch, least, small):  # noqa: F811
     want = plain([(r[0], r[1]) for r in ROWS], least)
     for d, s in want.items():
         assert abs(got[d][0] - s) <= 2e-3 * got[d][1]
+
+
+def test_query_counts_every_ngram(spark):
+    got = by_id(op8_lm_scoring(spark, SF), "score", "n_tokens")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    for d, s in plain(rows, 1).items():
+        assert abs(got[d][0] - s) <= 2e-3 * got[d][1]
