@@ -71,11 +71,19 @@ def _masks() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Items:
-    """Benchmark items as word hashes; ``key`` tells one set from another in a worker's cache."""
+    """Benchmark items as word hashes; ``key`` tells one set from another in a worker's cache.
+
+    ``shared`` are the shingles of several items of the whole benchmark of ``total``
+    items, in order, and ``times`` in how many they are; all others are in one or none.
+    Without a total these items are the whole benchmark.
+    """
 
     key: str
     ids: tuple[int, ...]
     words: tuple[bytes, ...]
+    total: int = 0
+    shared: bytes = b""
+    times: bytes = b""
 
 
 class Index:
@@ -89,7 +97,10 @@ class Index:
         self.sets = [np.unique(shingles(w, k)) for w, k in zip(self.words, self.width, strict=True)]
         every, n = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]), return_counts=True)
         # a shingle of many items (a template) says less: weight log(1 + items / items with it)
-        self.known, self.weights, self.other = every, np.log1p(len(self.ids) / n), float(np.log1p(max(len(self.ids), 1)))
+        total = items.total or len(self.ids)
+        self.known, self.other = every, float(np.log1p(max(total, 1)))
+        self.shared, times = (np.frombuffer(items.shared, np.uint64), np.frombuffer(items.times, np.int64)) if items.total else (every[n > 1], n[n > 1])
+        self.weights = np.log1p(total / times)
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[(every >> np.uint64(44)).astype(np.int64)] = True
         self.prints = np.concatenate([Prints(w).of(np.array([0]), np.array([len(w)])) for w in self.words]) if self.words else np.zeros((0, BLOCKS), np.uint16)
@@ -103,8 +114,10 @@ class Index:
         return starts, owner[order]
 
     def weight(self, s: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, s), max(len(self.known) - 1, 0))
-        return np.where(self.known[at] == s, self.weights[at], self.other)
+        if not len(self.shared):
+            return np.full(len(s), self.other)
+        at = np.minimum(np.searchsorted(self.shared, s), len(self.shared) - 1)
+        return np.where(self.shared[at] == s, self.weights[at], self.other)
 
     def hits(self, s: np.ndarray) -> np.ndarray:
         """Positions of shingles that some item has."""
@@ -201,10 +214,28 @@ _LEAK = "array<struct<item:bigint,similarity:double,start_word:bigint,end_word:b
 _LEAKS = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())]))
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of every item; and a null for each item with words."""
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for lo, hi in by_bytes(texts):
+            w = Words(texts[lo:hi], LOOSE, lower=True)
+            for i in range(hi - lo):
+                h = w.hash[w.offset[i] : w.offset[i + 1]]
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *np.unique(shingles(h, min(SHINGLE, len(h)))).view(np.int64).tolist()], pa.int64())], names=["shingle"])
+
+
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
-    """The benchmark's items, ITEMS_A_PASS of them in memory at a time; items without words or id are left out, equal ids merge."""
+    """The benchmark's items, ITEMS_A_PASS of them in memory at a time, with shingle counts of them all; items without words or id are left out, equal ids merge."""
     rows = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null and text is not null").groupBy("item", "text").count()
     passes = max(1, -(-rows.count() // ITEMS_A_PASS))
+    times = rows.select("text").mapInArrow(_item_shingles, "shingle bigint").groupBy("shingle").count().where("count > 1 or shingle is null").collect()
+    total = sum(r["count"] for r in times if r.shingle is None)
+    several = [r for r in times if r.shingle is not None]
+    shared = np.array([r.shingle for r in several], dtype=np.int64).view(np.uint64)
+    order = np.argsort(shared)
+    counts = np.array([r["count"] for r in several], dtype=np.int64)[order].tobytes()
     for k in range(passes):
         part: Sequence = rows.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).orderBy("item", "text").collect()
         w = Words([r.text for r in part], LOOSE, lower=True)
@@ -212,7 +243,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
         some = [i for i in range(len(part)) if hashes[i]]
         if some:
             words = tuple(hashes[i] for i in some)
-            yield Items(str(hash((k, words))), tuple(part[i].item for i in some), words)
+            yield Items(str(hash((k, words))), tuple(part[i].item for i in some), words, total, shared[order].tobytes(), counts)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, item_col: str = "item_id", item_text_col: str = "text", text_col: str = "text") -> DataFrame:
