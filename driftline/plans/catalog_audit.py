@@ -39,7 +39,7 @@ def recovered_labels(spark, sf_dir):
     return audit.recovered_labels(o.where("source = 'primary'"), o.where("source <> 'primary'").select("frame", F.col("track_id").alias("key")))
 
 
-@query(f"{WITH_OBS}, n AS (SELECT *, lead(frame) OVER w AS nf, lead(det_label) OVER w AS nl FROM obs WHERE frame < 100 WINDOW w AS (PARTITION BY track_id ORDER BY frame)), m AS (SELECT track_id AS attempt, CAST(unnest(generate_series(frame + 1, nf - 1)) AS INTEGER) AS frame, CAST(999 AS INTEGER) AS label, frame AS bf, det_label AS bl, nf AS af, nl AS al FROM n WHERE nf > frame + 1), k AS (SELECT * FROM obs WHERE source = 'primary') SELECT m.attempt, m.frame, coalesce(a.track_id, b.track_id, c.track_id) AS track_id, CASE WHEN coalesce(a.track_id, b.track_id, c.track_id) IS NULL THEN 'no track holds it or its bracket' ELSE '' END AS note FROM m LEFT JOIN k a ON a.frame = m.frame AND a.det_label = m.label LEFT JOIN k b ON b.frame = bf AND b.det_label = bl LEFT JOIN k c ON c.frame = af AND c.det_label = al")
+@query(f"{WITH_OBS}, n AS (SELECT *, lead(frame) OVER w AS nf, lead(det_label) OVER w AS nl FROM obs WINDOW w AS (PARTITION BY track_id ORDER BY frame)), m AS (SELECT track_id AS attempt, CAST(unnest(generate_series(frame + 1, nf - 1)) AS INTEGER) AS frame, CAST(999 AS INTEGER) AS label, frame AS bf, det_label AS bl, nf AS af, nl AS al FROM n WHERE nf > frame + 1), k AS (SELECT * FROM obs WHERE source = 'primary') SELECT m.attempt, m.frame, coalesce(a.track_id, b.track_id, c.track_id) AS track_id, CASE WHEN coalesce(a.track_id, b.track_id, c.track_id) IS NULL THEN 'no track holds it or its bracket' ELSE '' END AS note FROM m LEFT JOIN k a ON a.frame = m.frame AND a.det_label = m.label LEFT JOIN k b ON b.frame = bf AND b.det_label = bl LEFT JOIN k c ON c.frame = af AND c.det_label = al")
 def recovery_attribution(spark, sf_dir):
     o = obs(spark, sf_dir)
     attempts = gaps.expected_positions(o).select(F.col("track_id").alias("attempt"), "frame", F.lit(999).alias("label"), "before_frame", "before_label", "after_frame", "after_label")

@@ -22,7 +22,7 @@ def link_difference(spark, sf_dir):
     return gates.link_difference(gates.links_of(o), gates.links_of(o.where("source <> 'window'")))
 
 
-@query(f"""{WITH_OBS}, p AS (SELECT * FROM obs WHERE source = 'primary' AND frame < 120), n AS (SELECT *, lead(frame) OVER w AS nf, lead(x_px) OVER w AS nx, lead(y_px) OVER w AS ny, lead(area_px) OVER w AS na FROM p WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
+@query(f"""{WITH_OBS}, p AS (SELECT * FROM obs WHERE source = 'primary'), n AS (SELECT *, lead(frame) OVER w AS nf, lead(x_px) OVER w AS nx, lead(y_px) OVER w AS ny, lead(area_px) OVER w AS na FROM p WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
 e AS (SELECT track_id, CAST(g AS INTEGER) AS frame, x_px + (nx - x_px) * (CAST(g - frame AS DOUBLE) / (nf - frame)) AS ex, y_px + (ny - y_px) * (CAST(g - frame AS DOUBLE) / (nf - frame)) AS ey, 0.5::DOUBLE * (area_px + na) AS ea FROM (SELECT *, unnest(generate_series(frame + 1, nf - 1)) AS g FROM n WHERE nf > frame + 1)),
 c AS (SELECT e.track_id, e.frame, o.det_label AS label, o.area_px AS oa, ea, sqrt((o.x_px - ex) * (o.x_px - ex) + (o.y_px - ey) * (o.y_px - ey)) AS offset_px FROM e JOIN obs o ON o.frame = e.frame AND o.source <> 'primary'),
 k AS (SELECT *, row_number() OVER (PARTITION BY track_id, frame ORDER BY offset_px, label) AS k FROM c WHERE offset_px <= 1.5::DOUBLE * greatest(sqrt(4 * ea), 30.0::DOUBLE) AND oa BETWEEN 0.25::DOUBLE * ea AND 4.0::DOUBLE * ea)

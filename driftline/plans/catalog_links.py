@@ -77,7 +77,7 @@ def pixels(spark, sf_dir):
     return px.groupBy("frame", "y", "x").agg(F.min("label").alias("label")).withColumn("value", ((F.col("x") * 7 + F.col("y") * 3 + F.col("frame")) % 50).cast("double"))
 
 
-PIXEL_SQL = """b AS (SELECT frame, det_label AS label, CAST(trunc(x_px) AS INT) AS x0, CAST(trunc(y_px) AS INT) AS y0, CAST(3 + track_id % 5 AS INT) AS w, CAST(3 + x_c % 4 AS INT) AS h FROM obs WHERE frame < 48),
+PIXEL_SQL = """b AS (SELECT frame, det_label AS label, CAST(trunc(x_px) AS INT) AS x0, CAST(trunc(y_px) AS INT) AS y0, CAST(3 + track_id % 5 AS INT) AS w, CAST(3 + x_c % 4 AS INT) AS h FROM obs),
 px AS (SELECT frame, y, x, min(label) AS label, ((x * 7 + y * 3 + frame) % 50)::DOUBLE AS value FROM (SELECT frame, label, x, CAST(unnest(generate_series(y0, y0 + h - 1)) AS INT) AS y FROM (SELECT frame, label, y0, h, CAST(unnest(generate_series(x0, x0 + w - 1)) AS INT) AS x FROM b)) GROUP BY frame, y, x)"""
 
 
@@ -112,7 +112,7 @@ def pixel_history(spark, sf_dir):
     return rounded(regions.pixel_history(pixels(spark, sf_dir)), 6)
 
 
-@query(f"{WITH_OBS}, t AS (SELECT track_id, frame, x_px, y_px FROM obs WHERE frame < 200), f AS (SELECT * FROM t WHERE (frame + track_id) % 4 > 0), h AS (SELECT t.track_id AS true_id, f.track_id, count(*) AS hits FROM t JOIN f ON t.frame = f.frame AND sqrt((t.x_px - f.x_px) * (t.x_px - f.x_px) + (t.y_px - f.y_px) * (t.y_px - f.y_px)) <= 5 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY true_id ORDER BY hits DESC, track_id) AS k FROM h), b AS (SELECT * FROM k WHERE k = 1) SELECT n.track_id AS true_id, b.track_id, coalesce(hits, 0) AS hits, round(coalesce(2 * hits / (n.n + m.n), 0), 6) AS f1 FROM (SELECT track_id, count(*) AS n FROM t GROUP BY 1) n LEFT JOIN b ON b.true_id = n.track_id LEFT JOIN (SELECT track_id, count(*) AS n FROM f GROUP BY 1) m ON m.track_id = b.track_id")
+@query(f"{WITH_OBS}, t AS (SELECT track_id, frame, x_px, y_px FROM obs), f AS (SELECT * FROM t WHERE (frame + track_id) % 4 > 0), h AS (SELECT t.track_id AS true_id, f.track_id, count(*) AS hits FROM t JOIN f ON t.frame = f.frame AND sqrt((t.x_px - f.x_px) * (t.x_px - f.x_px) + (t.y_px - f.y_px) * (t.y_px - f.y_px)) <= 5 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY true_id ORDER BY hits DESC, track_id) AS k FROM h), b AS (SELECT * FROM k WHERE k = 1) SELECT n.track_id AS true_id, b.track_id, coalesce(hits, 0) AS hits, round(coalesce(2 * hits / (n.n + m.n), 0), 6) AS f1 FROM (SELECT track_id, count(*) AS n FROM t GROUP BY 1) n LEFT JOIN b ON b.true_id = n.track_id LEFT JOIN (SELECT track_id, count(*) AS n FROM f GROUP BY 1) m ON m.track_id = b.track_id")
 def identity_f1(spark, sf_dir):
     t = obs(spark, sf_dir).select("track_id", "frame", "x_px", "y_px")
     return rounded(scoring.identity_f1(t, t.where((F.col("frame") + F.col("track_id")) % 4 > 0), 5.0))
@@ -127,7 +127,7 @@ def bodies(spark, sf_dir):
     return px.select("track_id", "frame", "y", "x").distinct()
 
 
-@query(f"""{WITH_OBS}, b AS (SELECT DISTINCT track_id % 6 AS track_id, frame, CAST(frame + track_id % 3 AS INT) AS x0, CAST(y_px AS INT) % 3 AS y0, CAST(4 + x_c % 4 AS INT) AS w, CAST(3 + track_id % 4 AS INT) AS h FROM obs WHERE frame < 300),
+@query(f"""{WITH_OBS}, b AS (SELECT DISTINCT track_id % 6 AS track_id, frame, CAST(frame + track_id % 3 AS INT) AS x0, CAST(y_px AS INT) % 3 AS y0, CAST(4 + x_c % 4 AS INT) AS w, CAST(3 + track_id % 4 AS INT) AS h FROM obs),
 px AS (SELECT DISTINCT track_id, frame, x, CAST(unnest(generate_series(y0, y0 + h - 1)) AS INT) AS y FROM (SELECT *, CAST(unnest(generate_series(x0, x0 + w - 1)) AS INT) AS x FROM b)),
 c AS (SELECT track_id, frame, avg(x) AS cx, avg(y) AS cy FROM px GROUP BY ALL), m AS (SELECT a.track_id, a.frame, a.cx, a.cy, b.cx - a.cx AS mx, b.cy - a.cy AS my FROM c a JOIN c b ON a.track_id = b.track_id AND b.frame = a.frame + 1),
 j AS (SELECT m.track_id, m.frame, coalesce(o.x, n.x) - cx AS px, coalesce(o.y, n.y) - cy AS py, mx, my, o.x IS NULL AS gained, n.x IS NULL AS lost FROM (SELECT * FROM px) o FULL JOIN (SELECT track_id, frame - 1 AS frame, x, y FROM px) n ON o.track_id = n.track_id AND o.frame = n.frame AND o.x = n.x AND o.y = n.y JOIN m ON m.track_id = coalesce(o.track_id, n.track_id) AND m.frame = coalesce(o.frame, n.frame)),
