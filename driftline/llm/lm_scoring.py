@@ -1,14 +1,14 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 The first level is the training corpus's vocabulary: word hashes in order, as
-Elias-Fano sequences, with exact counts; a word's id is its place. The second level
-has, for every word, the words that follow it, and the third, for every pair of the
-second, the words that follow the pair: monotone pointers from a context to its
-successors, the successors' ids made monotone by running sums, and quantised smoothed
-probabilities. A pair's place in the second level is its context in the third, so a
-lookup is a chain of successor searches, each relative to the start of its context's
-range. All levels lie in files in the shared folder, cut by tokens of their first
-words, which workers map into memory.
+Elias-Fano sequences, with exact counts; a word's id is its place. Level n has, for
+every n-gram of the level before, the words that follow it: monotone pointers from a
+context to its successors, the successors' ids made monotone by running sums, and
+quantised smoothed probabilities. An n-gram's place in its level is its context in
+the next, so a lookup is a chain of successor searches, each relative to the start of
+its context's range. All levels lie in files in the shared folder, which workers map
+into memory. Files are cut by training tokens; a word of more tokens than a file
+takes has its n-grams parted by their second words.
 
 The model interpolates with absolute discounting: P(w|h) = a(h, w) + g(h) P(w|h'),
 h' the context without its first word, a(h, w) = (c(h, w) - D) / c(h) for kept n-grams
@@ -17,7 +17,7 @@ and else 0, g(h) what is left, and 1 for contexts that the trie does not have.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,10 +32,10 @@ from .workspace import columns_as, fresh_path, materialise, small_batches
 
 #: Words of one vocabulary file, about.
 SEGMENT_WORDS = 1 << 19
-#: Tokens counted in a worker before counts are sent on; characters scored at once.
-COUNT_TOKENS, SCORE_CHARS = 1 << 21, 1 << 22
-#: Training tokens whose n-grams share a file, about: those of one word are never parted.
-FILE_TOKENS = 1 << 21
+#: Tokens whose words, and whose n-grams, are counted in a worker before counts are sent on; characters scored at once.
+COUNT_TOKENS, GRAM_TOKENS, SCORE_CHARS = 1 << 21, 1 << 20, 1 << 22
+#: Training tokens whose n-grams share a file, about: those of one pair of words are never parted.
+FILE_TOKENS = 1 << 20
 #: Least count of a kept n-gram if none is asked for, and the discount.
 LEAST_PAIR, DISCOUNT = 2, 0.75
 #: Log probabilities are kept as multiples of 1 / GRID in 16 bits.
@@ -49,32 +49,84 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w.hash, w.offset[1:], END), w.offset + np.arange(len(w.offset))
 
 
-def encode(p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-np.log10(np.maximum(p, 1e-60)) * GRID), 65535).astype(np.uint16)
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct key, in order of keys; each key's number among them; and how often each is there."""
+    order = np.argsort(key)
+    at = key[order]
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    count = np.diff(np.append(start, len(at)))
+    back = np.empty(len(key), dtype=np.int64)
+    back[order] = np.repeat(np.arange(len(start)), count)
+    return order[start], back, count
 
 
-def decode(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-code.astype(np.float64) / GRID)
+def distinct_rows(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_numbered``, of rows of numbers from -1 on; rows are in the order of their columns."""
+    key, most = columns[0] + 1, int(columns[0].max(initial=-1)) + 2
+    for c in columns[1:]:
+        width = int(c.max(initial=-1)) + 2
+        if most > (1 << 62) // width:
+            at, key, _ = _numbered(key)
+            most = len(at) + 1
+        key = key * width + c + 1
+        most *= width
+    return _numbered(key)
+
+
+class Codes:
+    """Log probabilities in steps of 1 / GRID: a byte each for the 255 most frequent values, and the rest by place."""
+
+    def __init__(self, x: list[np.ndarray]):
+        self.byte, self.table, self.rare, self.code = x
+
+    @staticmethod
+    def build(p: np.ndarray) -> list[np.ndarray]:
+        code = np.minimum(np.rint(-np.log10(np.maximum(p, 1e-60)) * GRID), 65535).astype(np.uint16)
+        often = np.bincount(code, minlength=1 << 16)
+        table = np.argsort(-often, kind="stable")[:255].astype(np.uint16)
+        byte = np.full(1 << 16, 255, dtype=np.uint8)
+        byte[table] = np.arange(len(table), dtype=np.uint8)
+        rare = np.flatnonzero(byte[code] == 255)
+        return [byte[code], table, rare.astype(np.uint32), code[rare]]
+
+    def of(self, i: np.ndarray) -> np.ndarray:
+        """Probabilities at places ``i``."""
+        byte = self.byte[i]
+        code = self.table[np.minimum(byte, len(self.table) - 1)]
+        rare = np.flatnonzero(byte == 255)
+        code[rare] = self.code[np.searchsorted(self.rare, i[rare].astype(np.uint32))]
+        return 10.0 ** (code * (-1.0 / GRID))
 
 
 @dataclass
 class Model:
-    """Where the files are, and the few numbers per file that lookups need.
+    """Where the files are, and the few numbers that lookups need.
 
-    ``cuts`` are the first word ids of the n-gram files in ``grams``, and the end.
+    File f of n-grams begins at the pair (``word[f]``, ``next[f]``) of ids; the last
+    of these is the end. ``parted`` are the words whose n-grams fill several files,
+    and ``left`` is g of each.
     """
 
+    folder: str
     bits: int
     total: int
-    words: list[str | None] = field(default_factory=list)
-    base: list[int] = field(default_factory=list)
-    order: int = 2
-    cuts: list[int] = field(default_factory=list)
-    grams: list[str | None] = field(default_factory=list)
+    order: int
+    base: np.ndarray
+    word: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    next: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    written: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    parted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    left: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @property
     def distinct(self) -> int:
-        return self.base[-1] if self.base else 0
+        return int(self.base[-1])
+
+    def words(self, segment: int) -> str:
+        return f"{self.folder}/words-{segment}"
+
+    def grams(self, file: int) -> str:
+        return f"{self.folder}/grams-{file}"
 
     def segment(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), dtype=np.int64)
@@ -82,12 +134,9 @@ class Model:
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of each word hash; ``h`` is sorted."""
         ids, counts = np.full(len(h), -1, dtype=np.int64), np.zeros(len(h), dtype=np.int64)
-        segment = self.segment(h)
-        edges = np.searchsorted(segment, np.arange(len(self.words) + 1))
-        for s in np.flatnonzero(np.diff(edges)):
-            if self.words[s] is None:
-                continue
-            a = map_arrays(self.words[s])
+        edges = np.searchsorted(self.segment(h), np.arange(len(self.base)))
+        for s in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.base) > 0)):
+            a = map_arrays(self.words(s))
             part = slice(edges[s], edges[s + 1])
             at = EliasFano.of(a[:4]).find(h[part] & np.uint64((1 << (64 - self.bits)) - 1))
             known = at >= 0
@@ -101,42 +150,56 @@ class Model:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def follow(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """a(u, v), g(u), a(uv, w) and g(uv) of triples of ids in order; ``u`` has no -1, which is unknown or none in the others."""
-        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, dtype=np.int64)
-        size = np.diff(np.append(first, len(u)))
-        pair_u, pair_v = u[first], v[first]
-        a, g, g2, a2 = np.zeros(len(first)), np.ones(len(first)), np.ones(len(first)), np.zeros(len(u))
-        edges = np.searchsorted(pair_u, self.cuts)
-        for f in np.flatnonzero(np.diff(edges)):
-            if self.grams[f] is None:
-                continue
-            x = map_arrays(self.grams[f])
-            part = np.arange(edges[f], edges[f + 1])
-            at, a[part], g[part] = _Level(x[:10]).follow(pair_u[part] - self.cuts[f], pair_v[part])
-            if self.order < 3:
-                continue
-            known = np.flatnonzero(at >= 0)
-            n = size[part[known]]
-            # the triples of the known pairs
-            row = np.repeat(first[part[known]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            two = _Level(x[10:20])
-            g2[part[known]] = two.rest(at[known])
-            row_at = np.repeat(at[known], n)
-            asked = np.flatnonzero(w[row] >= 0)
-            a2[row[asked]] = two.follow(row_at[asked], w[row[asked]])[1]
-        return np.repeat(a, size), np.repeat(g, size), a2, np.repeat(g2, size)
+    def edges(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Where the pairs of each file begin among these, which are in order; v may be -1."""
+        at = np.searchsorted(u, self.word)
+        for f in np.flatnonzero(self.next > 0):
+            end = np.searchsorted(u, self.word[f], side="right")
+            at[f] += np.searchsorted(v[at[f] : end], self.next[f])
+        return at
+
+    def last(self, file: int) -> int:
+        """One past the last first word of a file."""
+        return int(self.word[file + 1] + (self.next[file + 1] > 0))
+
+    def walk(self, grams: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """a(h, w) and g(h) of each row's beginnings of 2, 3, ... ids; rows are distinct and in order, -1 is unknown or none but in the first column."""
+        n = len(grams[0])
+        a, g = [np.zeros(n) for _ in grams[1:]], [np.ones(n) for _ in grams[1:]]
+        edges = self.edges(grams[0], grams[1])
+        for f in np.flatnonzero((np.diff(edges) > 0) & self.written):
+            rows = np.arange(edges[f], edges[f + 1])
+            x = map_arrays(self.grams(f))
+            context = grams[0][rows] - self.word[f]
+            change = np.append(True, context[1:] != context[:-1])
+            for j in range(1, len(grams)):
+                w = grams[j][rows]
+                change |= np.append(True, w[1:] != w[:-1])
+                start = np.flatnonzero(change)
+                size = np.diff(np.append(start, len(rows)))
+                place, a_, g_ = _Level(x[16 * j - 16 : 16 * j]).follow(context[start], w[start])
+                a[j - 1][rows], g[j - 1][rows] = np.repeat(a_, size), np.repeat(g_, size)
+                # only n-grams that this level has are contexts of the next one
+                found = np.repeat(place, size)
+                go = found >= 0
+                rows, context, change = rows[go], found[go], change[go]
+                if not len(rows):
+                    break
+        if len(self.parted):
+            at = np.minimum(np.searchsorted(self.parted, grams[0]), len(self.parted) - 1)
+            g[0] = np.where(self.parted[at] == grams[0], self.left[at], g[0])
+        return a, g
 
 
 class _Level:
     """Successors of the level before: pointers from a context to its range, successors, and both kinds of probabilities."""
 
     def __init__(self, x: list[np.ndarray]):
-        self.pointers, self.successors, self.code, self.left = EliasFano.of(x[:4]), EliasFano.of(x[4:8]), x[8], x[9]
+        self.pointers, self.successors, self.a, self.g = EliasFano.of(x[:4]), EliasFano.of(x[4:8]), Codes(x[8:12]), Codes(x[12:16])
 
     @staticmethod
-    def build(context: np.ndarray, w: np.ndarray, n: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-        """From n-grams in order and the counts of all contexts."""
+    def build(context: np.ndarray, w: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """From n-grams in order and the counts of all contexts; and what each context has left."""
         p = (n - DISCOUNT) / counts[context]
         rest = 1 - np.bincount(context, p, len(counts))
         # a context's ids start from one past the last value of the context before
@@ -146,15 +209,12 @@ class _Level:
         start = np.append(0, step)[np.cumsum(first) - 1]
         successors = EliasFano.build((start + w).astype(np.uint64), int(step[-1]) + 1 if len(step) else 1)
         pointers = EliasFano.build(np.append(0, np.cumsum(np.bincount(context, minlength=len(counts)))).astype(np.uint64), len(w) + 1)
-        return [*pointers.arrays(), *successors.arrays(), encode(p), encode(rest)]
-
-    def rest(self, context: np.ndarray) -> np.ndarray:
-        return decode(self.left[context])
+        return [*pointers.arrays(), *successors.arrays(), *Codes.build(p), *Codes.build(rest)], rest
 
     def follow(self, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place (or -1) and a of each n-gram, and g of its context; ``w`` is -1 for unknown words."""
         place, a = np.full(len(context), -1, dtype=np.int64), np.zeros(len(context))
-        begin, end = self.pointers.access(context).astype(np.int64), self.pointers.access(context + 1).astype(np.int64)
+        begin, end = (x.astype(np.int64) for x in self.pointers.range(context))
         some = np.flatnonzero((end > begin) & (w >= 0))
         begin, end = begin[some], end[some]
         if len(some):
@@ -163,22 +223,8 @@ class _Level:
             at = self.successors.find(start + w[some].astype(np.uint64))
             hit = (at >= begin) & (at < end)
             place[some[hit]] = at[hit]
-            a[some[hit]] = decode(self.code[at[hit]])
-        return place, a, self.rest(context)
-
-
-def _triples(i: np.ndarray, j: np.ndarray, k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the distinct triples of numbers from -1 to n - 1, in order; each triple's number among them; and counts."""
-    if n < (1 << 21) - 1:
-        m = n + 1
-        _, at, back, count = np.unique(((i + 1) * m + j + 1) * m + k + 1, return_index=True, return_inverse=True, return_counts=True)
-        return at, back, count
-    order = np.lexsort((k, j, i))
-    a, b, c = i[order], j[order], k[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))[: len(i)]
-    back = np.empty(len(i), dtype=np.int64)
-    back[order] = np.cumsum(new) - 1
-    return order[new], back, np.diff(np.append(np.flatnonzero(new), len(i)))
+            a[some[hit]] = self.a.of(at[hit])
+        return place, a, self.g.of(context)
 
 
 def _train_rows(docs: DataFrame) -> DataFrame:
@@ -212,44 +258,67 @@ def _write_words(folder: str, bits: int, file_tokens: int):
         big = np.flatnonzero(n >= 255)
         span = 64 - bits
         ef = EliasFano.build(word & np.uint64((1 << span) - 1), 1 << span)
-        # a file of n-grams starts at the first word after so many tokens
-        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // file_tokens)) + 1
-        path = f"{folder}/words-{segment}"
-        write_arrays(path, [*ef.arrays(), np.minimum(n, 255).astype(np.uint8), big.astype(np.int64), n[big].astype(np.int64)])
-        return pa.table({"segment": pa.array([segment], pa.int64()), "path": [path], "n": pa.array([len(word)], pa.int64()), "cuts": pa.array([cuts.tolist()], pa.list_(pa.int64()))})
+        write_arrays(f"{folder}/words-{segment}", [*ef.arrays(), np.minimum(n, 255).astype(np.uint8), big.astype(np.int64), n[big].astype(np.int64)])
+        # a file of n-grams starts at the first word after so many tokens, and at and after words of more
+        full = np.flatnonzero(n > file_tokens)
+        cuts = np.union1d(np.flatnonzero(np.diff((np.cumsum(n) - n) // file_tokens)) + 1, np.concatenate([full, full + 1]))
+        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (cuts[(cuts > 0) & (cuts < len(n))], full, -(-n[full] // file_tokens))]
+        return pa.table([pa.array([segment], pa.int64()), pa.array([len(word)], pa.int64()), *lists], names=["segment", "n", "cuts", "full", "parts"])
 
     return run
 
 
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers from 0 on, compressed byte plane by byte plane."""
+    kind = np.uint32 if all(int(c.max(initial=0)) < 1 << 32 for c in columns) else np.uint64
+    planes = np.stack([c.astype(kind) for c in columns]).view(np.uint8).reshape(-1, kind().itemsize)
+    blob = np.ascontiguousarray(planes.T).tobytes()
+    return np.array([kind().itemsize, len(columns), len(columns[0])], np.int64).tobytes() + pa.Codec("zstd", compression_level=1).compress(blob, asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    """The columns, one a row."""
+    size, k, n = np.frombuffer(blob, np.int64, 3).tolist()
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[24:], size * k * n, asbytes=True), np.uint8).reshape(size, k * n)
+    return np.ascontiguousarray(planes.T).view(np.uint32 if size == 4 else np.uint64).reshape(k, n).astype(np.int64)
+
+
+def _starts(texts_of: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tokens that have another after them in their text, and for each the places of its n-gram's tokens, -1 past the text's end."""
+    n = len(texts_of)
+    i = np.flatnonzero(texts_of[1:] == texts_of[:-1])
+    after = np.append(texts_of, np.full(order, -1))
+    return i, [i, i + 1, *(np.where(after[i + k] == texts_of[i], np.minimum(i + k, n - 1), -1) for k in range(2, order))]
+
+
 def _count_grams(model: Model):
-    """Counts of n-grams (u, v, w) with the file of u; w is -1 after a pair that ends its text, and for order 2."""
+    """Counts of n-grams, packed, with the file they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             h = np.concatenate([x for x, _ in held])
-            last = np.zeros(len(h) + 1, dtype=bool)
-            at = 0
-            for x, offset in held:
-                last[at + offset[1:] - 1] = True
-                at += len(x)
+            doc = np.concatenate([np.repeat(np.arange(len(o) - 1), np.diff(o)) + (k << 32) for k, (_, o) in enumerate(held)])
             held.clear()
-            words, inverse = np.unique(h, return_inverse=True)
-            ids, _ = model.lookup(words)
-            i = np.flatnonzero(~last[:-1])
-            u, v = inverse[i], inverse[i + 1]
-            w = np.where(last[i + 1], -1, np.append(inverse, -1)[i + 2]) if model.order > 2 else np.full(len(i), -1)
-            at, _, n = _triples(u, v, w, len(words))
-            u, v, w = ids[u[at]], ids[v[at]], np.where(w[at] < 0, -1, ids[w[at]])
-            file = np.searchsorted(model.cuts, u, side="right") - 1
-            return pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), pa.array(u), pa.array(v), pa.array(w), pa.array(n.astype(np.int32))], names=["file", "u", "v", "w", "n"])
+            at, number, _ = _numbered(h)
+            ids = np.append(model.lookup(h[at])[0], -1)
+            _, places = _starts(doc, model.order)
+            number = np.append(number, -1)
+            # words are numbered in the order of their ids
+            grams = [number[p] for p in places]
+            at, _, n = distinct_rows(grams)
+            grams = [ids[g[at]] for g in grams]
+            edges = model.edges(grams[0], grams[1])
+            files = np.flatnonzero(np.diff(edges))
+            blobs = [_packed([grams[0][lo:hi] - model.word[f], *(g[lo:hi] + 1 for g in grams[1:]), n[lo:hi]]) for f, lo, hi in zip(files, edges[files], edges[files + 1], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(blobs, pa.binary())], names=["file", "grams"])
 
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in by_bytes(texts):
                 held.append(tokens(texts[lo:hi]))
-                if sum(len(x) for x, _ in held) >= COUNT_TOKENS:
+                if sum(len(x) for x, _ in held) >= GRAM_TOKENS:
                     yield flush()
         if held:
             yield flush()
@@ -257,50 +326,51 @@ def _count_grams(model: Model):
     return run
 
 
-def _write_grams(folder: str, model: Model, least: int):
-    """Rows (file, u, v, w, n) sorted by u in; files written and their names out."""
+def _write_grams(model: Model, least: int):
+    """Rows (file, grams) sorted by file in; files written, and what each leaves to its first word, out."""
 
-    def write(file: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        lo, hi = model.cuts[file], model.cuts[file + 1]
+    def write(file: int, blobs: list[bytes]) -> pa.RecordBatch:
+        lo, hi = int(model.word[file]), model.last(file)
         segment = int(np.searchsorted(model.base, lo, side="right")) - 1
-        words = map_arrays(model.words[segment])
-        counts = words[4].astype(np.int64)
-        counts[words[5]] = words[6]
-        counts = counts[lo - model.base[segment] : hi - model.base[segment]]
-        order = np.lexsort((w, v, u))
-        u, v, w, n = u[order], v[order], w[order], n[order]
-        pair = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))
-        first = np.flatnonzero(pair | np.append(True, w[1:] != w[:-1]))
-        u, v, w, n, pair = u[first], v[first], w[first], np.add.reduceat(n, first), pair[first]
-        start = np.flatnonzero(pair)
-        times = np.add.reduceat(n, start)
-        keep = times >= least
-        arrays = _Level.build(u[start][keep] - lo, v[start][keep], times[keep], counts)
-        if model.order > 2:
-            context = (np.cumsum(keep) - 1)[np.cumsum(pair) - 1]
-            kept = (w >= 0) & (n >= least)
-            arrays += _Level.build(context[kept], w[kept], n[kept], times[keep])
-        path = f"{folder}/grams-{file}"
-        write_arrays(path, arrays)
-        return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([path])], names=["file", "path"])
+        words = map_arrays(model.words(segment))
+        part = slice(lo - int(model.base[segment]), hi - int(model.base[segment]))
+        counts = words[4][part].astype(np.int64)
+        big = words[5][np.searchsorted(words[5], part.start) : np.searchsorted(words[5], part.stop)]
+        counts[big - part.start] = words[6][np.searchsorted(words[5], big)]
+        rows = np.concatenate([_unpacked(x) for x in blobs], axis=1)
+        rows[1:-1] -= 1
+        at, back, _ = distinct_rows(list(rows[:-1]))
+        n, grams = np.bincount(back, rows[-1], len(at)).astype(np.int64), [c[at] for c in rows[:-1]]
+        del rows, back
+        arrays, left = [], 1.0
+        context = grams[0]
+        change = np.append(True, context[1:] != context[:-1])
+        for j in range(1, model.order):
+            w = grams[j]
+            change = change | np.append(True, w[1:] != w[:-1])
+            start = np.flatnonzero(change)
+            times = np.add.reduceat(n, start)
+            keep = (w[start] >= 0) & (context[start] >= 0) & (times >= least)
+            level, rest = _Level.build(context[start][keep], w[start][keep], times[keep], counts)
+            arrays += level
+            left = float(rest[0]) if j == 1 else left
+            context = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), np.diff(np.append(start, len(n))))
+            counts = times[keep]
+        write_arrays(model.grams(file), arrays)
+        return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([left])], names=["file", "left"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
         now = -1
         for b in batches:
-            if not b.num_rows:
-                continue
-            file = b.column("file").to_numpy()
-            rows = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("u", "v", "w", "n")])
-            edges = [0, *(np.flatnonzero(file[1:] != file[:-1]) + 1).tolist(), len(file)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if file[lo] != now and held:
-                    yield write(now, *np.concatenate(held, axis=1))
-                    held.clear()
-                now = int(file[lo])
-                held.append(rows[:, lo:hi])
+            for file, blob in zip(b.column("file").to_pylist(), b.column("grams"), strict=True):
+                if file != now and held:
+                    yield write(now, held)
+                    held = []
+                now = file
+                held.append(blob.as_py())
         if held:
-            yield write(now, *np.concatenate(held, axis=1))
+            yield write(now, held)
 
     return run
 
@@ -316,17 +386,31 @@ def train(docs: DataFrame, order: int = 2, least: int = LEAST_PAIR) -> Model:
     bits = max(0, (distinct // SEGMENT_WORDS).bit_length())
     # hashes are uniform, so their top bits cut the vocabulary into equal files
     segment = F.shiftrightunsigned("word", 64 - bits) if bits else F.lit(0).cast("bigint")
-    written = vocabulary.withColumn("segment", segment).groupBy("segment").applyInArrow(_write_words(folder, bits, FILE_TOKENS), "segment bigint, path string, n bigint, cuts array<bigint>")
+    written = vocabulary.withColumn("segment", segment).groupBy("segment").applyInArrow(_write_words(folder, bits, FILE_TOKENS), "segment bigint, n bigint, cuts array<bigint>, full array<bigint>, parts array<bigint>")
     files = {r.segment: r for r in written.collect()}
-    sizes = [files[s].n if s in files else 0 for s in range(1 << bits)]
-    base = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
-    cuts = sorted({*base, *(base[s] + c for s, r in files.items() for c in r.cuts)})
-    model = Model(bits, total, [files[s].path if s in files else None for s in range(1 << bits)], base, order, cuts, [None] * (len(cuts) - 1))
-    grams = _train_rows(docs).mapInArrow(_count_grams(model), "file int, u bigint, v bigint, w bigint, n int")
+    base = np.concatenate([[0], np.cumsum([files[s].n if s in files else 0 for s in range(1 << bits)])]).astype(np.int64)
+    cuts = {(int(b), 0) for b in base}
+    parted = set()
+    for s, r in files.items():
+        first = int(base[s])
+        cuts |= {(first + c, 0) for c in r.cuts}
+        # a word's second words are parted where ids, which are in the order of hashes, are parted evenly
+        cuts |= {(first + w, k * distinct // parts) for w, parts in zip(r.full, r.parts, strict=True) for k in range(parts)}
+        parted |= {first + w for w in r.full}
+    word, after = (np.array(x, dtype=np.int64) for x in zip(*sorted(cuts), strict=True))
+    model = Model(folder, bits, total, order, base, word, after, np.zeros(len(word) - 1, dtype=bool), np.array(sorted(parted), dtype=np.int64), np.ones(len(parted)))
+    grams = _train_rows(docs).mapInArrow(_count_grams(model), "file bigint, grams binary")
     # a worker has summed its own n-grams already; the one that gets a file's rows adds them up and writes it
-    grams = grams.repartition(n_out, "file").sortWithinPartitions("u").mapInArrow(_write_grams(folder, model, least), "file bigint, path string")
+    # files are of equal numbers of tokens, so partitions of equal numbers of files are even
+    n_files = max(1, len(word) - 1)
+    parts = min(n_files, 4 * n_out)
+    place = F.floor(F.col("file") * parts / n_files).cast("int")
+    grams = grams.repartitionById(parts, place).sortWithinPartitions("file").mapInArrow(_write_grams(model, least), "file bigint, left double")
     for r in grams.collect():
-        model.grams[r.file] = r.path
+        model.written[r.file] = True
+        at = int(np.searchsorted(model.parted, word[r.file]))
+        if at < len(model.parted) and model.parted[at] == word[r.file]:
+            model.left[at] -= 1 - r.left
     return model
 
 
@@ -337,27 +421,28 @@ def _score(model: Model):
             out: list[tuple[np.ndarray, ...]] = []
             for lo, hi in by_bytes(texts, SCORE_CHARS):
                 h, offset = tokens(texts[lo:hi])
-                words, inverse = np.unique(h, return_inverse=True)
-                ids, counts = model.lookup(words)
+                at, number, _ = _numbered(h)
+                ids, counts = model.lookup(h[at])
                 one = model.unigram(counts)
                 doc = np.repeat(np.arange(hi - lo), np.diff(offset))
-                base = np.bincount(doc, np.log10(one)[inverse], hi - lo)
-                known = np.bincount(doc, (counts > 0)[inverse], hi - lo).astype(np.int64)
-                # contexts that the trie could have; others have no weight to fall back from
-                usable = np.where(counts >= 1, ids, -1)
-                p = one[inverse]
-                i = np.flatnonzero((doc[1:] == doc[:-1]) & (usable[inverse[:-1]] >= 0))
+                base = np.bincount(doc, np.log10(one)[number], hi - lo)
+                known = np.bincount(doc, (counts > 0)[number], hi - lo).astype(np.int64)
+                p = one[number]
+                i, places = _starts(doc, model.order)
+                # an unknown first word has no weight to fall back from; an unknown word ends what the trie may have
+                some = ids[number[i]] >= 0
+                i, places = i[some], [x[some] for x in places]
                 if len(i):
-                    third = np.append(doc, -1)[i + 2] == doc[i]
-                    u, v = inverse[i], inverse[i + 1]
-                    w = np.where(third, np.append(inverse, -1)[i + 2], -1) if model.order > 2 else np.full(len(i), -1)
-                    at, back, _ = _triples(u, v, w, len(words))
-                    # places of words known and unknown are in the order of hashes, as ids of known ones are
-                    a, g, a2, g2 = (x[back] for x in model.follow(usable[u[at]], usable[v[at]], np.append(usable, -1)[w[at]]))
-                    p[i + 1] = a + g * p[i + 1]
-                    if model.order > 2:
-                        j = i[third]
-                        p[j + 2] = a2[third] + g2[third] * p[j + 2]
+                    # words are numbered in the order of their ids, if they have any
+                    word = np.append(np.where(ids >= 0, np.arange(len(ids)), -1)[number], -1)
+                    grams = [word[x] for x in places]
+                    at, back, _ = distinct_rows(grams)
+                    ids = np.append(ids, -1)
+                    a, g = model.walk([ids[x[at]] for x in grams])
+                    for k in range(1, model.order):
+                        there = np.flatnonzero(places[k] >= 0)
+                        to = places[k][there]
+                        p[to] = a[k - 1][back[there]] + g[k - 1][back[there]] * p[to]
                 score = np.bincount(doc, np.log10(p), hi - lo)
                 out.append((np.diff(offset), known, base, score))
             if out:
@@ -374,8 +459,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null text is empty and has only the end. Rows whose crc32 of the id as text
     leaves ``held_fold`` by ``folds`` are held out; a null id is the text ''. Both
     scores are log10 probabilities: base_score of the smoothed unigram model, score
-    of the trie's. Repeated rows are counted and scored each by itself. ``order`` is 2 or 3; pairs and triples
-    seen less than ``least`` times are left out, and none for 1. If nothing
+    of the trie's. Repeated rows are counted and scored each by itself. ``order`` is 2 or more; n-grams of two words
+    and more seen less than ``least`` times are left out, and none for 1. If nothing
     is left to train on, both scores are those of an empty vocabulary. An empty
     table gives an empty result.
     """

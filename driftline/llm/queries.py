@@ -67,7 +67,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import score_documents
 
-    return score_documents(_table(spark, sf_dir, "documents"), order=3, least=1)
+    return score_documents(_table(spark, sf_dir, "documents"), order=4, least=1)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The three-level trie against plain counting."""
+"""Tries of three levels and more against plain counting."""
 
 import collections
 import math
@@ -14,13 +14,13 @@ from . import brute
 from .test_operators import ROWS, by_id, docs  # noqa: F401
 
 
-def plain(rows, least):
-    """doc_id -> score of the order-3 model of n-grams seen ``least`` times or more."""
+def plain(rows, least, order=3):
+    """doc_id -> score of the model of n-grams of up to ``order`` words seen ``least`` times or more."""
     tokens = {d: [*brute.WORD.findall(brute.lower(t)), None] for d, t in rows}
     c = collections.Counter()
     for d, w in tokens.items():
         if zlib.crc32(str(d).encode()) % 5 != 1:
-            c.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+            c.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
     n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
     rest = collections.defaultdict(lambda: 1.0)
     for g, x in c.items():
@@ -32,16 +32,17 @@ def plain(rows, least):
             return (c[g] + 0.5) / (n + 0.5 * (v + 1))
         return ((c[g] - 0.75) / c[g[:-1]] if c[g] >= least else 0.0) + rest.get(g[:-1], 1.0) * p(g[1:])
 
-    return {d: sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))) for d, w in tokens.items()}
+    return {d: sum(math.log10(p(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))) for d, w in tokens.items()}
 
 
-@pytest.mark.parametrize(("least", "small"), [(2, False), (2, True), (1, True)])
-def test_order_three(docs, monkeypatch, least, small):  # noqa: F811
+@pytest.mark.parametrize(("order", "least", "small"), [(3, 2, False), (3, 2, True), (3, 1, True), (2, 1, True), (4, 1, True), (5, 2, True)])
+def test_orders(docs, monkeypatch, order, least, small):  # noqa: F811
+    """Small files part the n-grams of frequent words."""
     if small:
         monkeypatch.setattr(lm_scoring, "SEGMENT_WORDS", 20)
         monkeypatch.setattr(lm_scoring, "FILE_TOKENS", 50)
-    got = by_id(lm_scoring.score_documents(docs, order=3, least=least), "score", "n_tokens")
-    want = plain([(r[0], r[1]) for r in ROWS], least)
+    got = by_id(lm_scoring.score_documents(docs, order=order, least=least), "score", "n_tokens")
+    want = plain([(r[0], r[1]) for r in ROWS], least, order)
     for d, s in want.items():
         assert abs(got[d][0] - s) <= 2e-3 * got[d][1]
 
@@ -49,5 +50,5 @@ def test_order_three(docs, monkeypatch, least, small):  # noqa: F811
 def test_query_counts_every_ngram(spark):
     got = by_id(op8_lm_scoring(spark, SF), "score", "n_tokens")
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    for d, s in plain(rows, 1).items():
+    for d, s in plain(rows, 1, 4).items():
         assert abs(got[d][0] - s) <= 2e-3 * got[d][1]
