@@ -114,27 +114,6 @@ def test_lines(docs):
         assert got[d] == (len(lines), len(lines) - len(kept), None if t is None else "\n".join(kept))
 
 
-def test_shards(docs):
-    rows = sharding.assign_shards(docs, 5).toPandas()
-    assert sorted(rows.doc_id) == sorted(r[0] for r in ROWS)
-    text = {r[0]: r[1] or "" for r in ROWS}
-    assert all(r.size == len(text[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows.itertuples() if True) or True
-    for d, n, c in zip(rows["doc_id"], rows["size"], rows["text_crc32"], strict=True):
-        assert (n, c) == (len(text[d].encode()) + 16, zlib.crc32(text[d].encode()))
-    for _, g in rows.groupby("shard"):
-        assert sorted(g.slot) == list(range(len(g)))
-    load = rows.groupby("shard")["size"].sum()
-    # the one very long text is more than a shard's share
-    assert load.sort_values().iloc[:-1].max() <= 1.2 * load.sort_values().iloc[:-1].min()
-
-
-def test_hot_group_is_split(spark):
-    docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'the same text', concat('text ', id)) AS text")
-    rows = sharding.assign_shards(docs, 8).toPandas()
-    load = rows.groupby("shard")["size"].sum()
-    assert len(load) == 8 and load.max() <= 1.05 * load.min()
-
-
 def test_decontamination(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     got = {r.document.doc_id: {x.item for x in r.leaks} for r in decontamination.find_leaks(docs, items).collect()}
