@@ -43,8 +43,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard of 40 and its slot there."""
-    return assign_shards(docs, n_shards=40).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
+    """Every row, text and all, with its shard of 40 and its slot there: what a writer of shards needs."""
+    rows = assign_shards(docs, n_shards=40, carry=True)
+    return rows.select("document.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]

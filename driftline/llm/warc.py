@@ -1,18 +1,20 @@
 """WARC archives of pages, read back and indexed by an external merge.
 
-Archives are written by Spark's own text sink: a record is one value, and the
-line separator is the two blank lines that end a record, so any file system Spark
-knows will do and a lost task is simply written again. Reading gives each archive's
-captures as a run sorted by URL key and time. Runs are cut at the same range
-borders, and every range merges its parts of all runs with a loser tree, which
-yields one global order of capture histories.
+Every record is a gzip member of its own, and the index holds the member's offset, so
+a record can be read without those before it. Archives are written by Spark's own
+text sink, so any file system Spark knows will do and a lost task is simply written
+again: the sink's line separator is the zero byte that ends each member (the highest
+byte of its length). Reading gives each archive's captures as a run sorted by URL key
+and time. Runs are cut at the same range borders, and every range merges its parts of
+all runs with a loser tree, which yields one global order of capture histories.
 """
 
 from __future__ import annotations
 
-import gzip
+import datetime
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -23,14 +25,17 @@ from .workspace import columns_as, fresh_path, materialise, small_batches
 
 #: Payloads under this size are never deduplicated.
 LEAST_REVISIT = 1000
-#: Records of one archive at most: bounds what a reading task holds.
-ARCHIVE_RECORDS = 1000
+#: Records of one archive at most, by payload size up to so many bytes: an archive unpacks to 256 MB, or to one record.
+ARCHIVE_RECORDS = ((1 << 18, 1000), (1 << 22, 64), (1 << 26, 4), (1 << 31, 1))
 #: Captures that one merging task holds, about.
 RANGE_CAPTURES = 100_000
-#: Pages carry no time; page i counts as captured i seconds after this one.
-FIRST_CAPTURE = "2024-01-01 00:00:00"
+#: Pages carry no time; page i counts as captured i nanoseconds after this one, so times of all 64-bit ids exist and sort as text.
+FIRST_CAPTURE = datetime.datetime(2024, 1, 1)
+#: Member sizes from which the highest byte of the length may not be zero.
+_LONG = 1 << 24
 _URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)(?::[0-9]*)?([^#]*)"
-_END = "\r\n\r\n"
+_END = b"\r\n\r\n"
+_INFO = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:page:info>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 18\r\n\r\nformat: WARC/1.1\r\n" + _END
 
 
 def url_key(url: Column) -> Column:
@@ -41,62 +46,132 @@ def url_key(url: Column) -> Column:
     return F.when(url.rlike(_URL), key).otherwise(url)
 
 
-def _decided(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, n, keeper): keeper is set for records whose payload another, kept record has."""
-    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("bigint"))
-    groups = base.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null")
-    groups = materialise(groups.select("digest", "keeper"), "copies")
-    joined = base.join(groups, "digest", "left")
-    return joined.withColumn("keeper", F.when(F.col("page_id").eqNullSafe(F.col("keeper")) | (F.col("n") < LEAST_REVISIT), None).otherwise(F.col("keeper")))
-
-
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_records: int = ARCHIVE_RECORDS) -> None:
+def capture_time(page: int | None) -> str:
+    """WARC date with nine places, so that the order of the texts is that of the ids."""
+    seconds, nanoseconds = divmod(page or 0, 10**9)
+    return f"{(FIRST_CAPTURE + datetime.timedelta(seconds=seconds)).isoformat()}.{nanoseconds:09d}Z"
+
+
+def _members(record: bytes) -> bytes:
+    """The record as a gzip member; of a very long one, its end is a member of its own, so that the last byte is always zero."""
+    if len(record) < _LONG:
+        return zlib.compress(record, 6, wbits=31)
+    return zlib.compress(record[: -len(_END)], 6, wbits=31) + zlib.compress(_END, 6, wbits=31)
+
+
+def _record(page: int | None, url: str | None, payload: bytes, digest: str, keeper: int | None) -> bytes:
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    block = http + payload if keeper is None else http
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'response' if keeper is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
+        f"WARC-Date: {capture_time(page)}",
+        f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"X-Payload-Length: {len(payload)}",
+        *([] if keeper is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{keeper}>"]),
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + _END + block + _END
+
+
+def _records(most: int):
+    """Pages to the values of the text sink, which begins a new file after ``most`` of them: a member without its last byte, after the archive's own record where a file begins."""
+    info = _members(_INFO)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                values = []
+                for page, url, payload, digest, keeper in zip(*(b.column(c).slice(lo, 256).to_pylist() for c in ("page_id", "url", "payload", "digest", "keeper")), strict=True):
+                    member = _members(_record(page, url, payload, digest, keeper))
+                    values.append((b"" if n % most else info) + member[:-1])
+                    n += 1
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write one record per row: response, or revisit of the record with the largest id of equal payloads of 1000 bytes or more.
 
+    Ids are whole numbers of any sign and size up to 64 bits; others are refused.
     Rows that repeat the kept id are responses too. A null payload is empty, a null
     URL an empty target, a null id is left out of its header; a group of payloads
-    without any id has no revisits.
+    without any id has no revisits. Line ends in a URL become blanks. Large payloads
+    get archives of fewer records, in a folder for each class of sizes.
     """
-    rows = _decided(columns_as(pages, page_id=id_col, url=url_col, html=payload_col))
-    time = F.date_format(F.lit(FIRST_CAPTURE).cast("timestamp") + F.make_dt_interval(secs=F.coalesce(F.col("page_id"), F.lit(0)).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    revisit = F.col("keeper").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(_END))
-    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-
-    def line(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"\r\n{name}: "), value)
-
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
-        line("WARC-Date", time),
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        line("X-Payload-Length", F.col("n").cast("string")),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("keeper").cast("string"), F.lit(">"))).otherwise(""),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length(block).cast("string")),
-    )
-    rows.select(F.concat(head, F.lit(_END), block).alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
+    kind = pages.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"ids of pages must be whole numbers, not {kind}")
+    base = columns_as(pages, page_id=id_col, url=url_col, html=payload_col).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
+    base = base.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("bigint"))
+    told = materialise(base.select("page_id", "digest", "n"), "digests")
+    groups = told.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null")
+    groups = materialise(groups.select(F.col("digest").alias("key"), "keeper"), "copies")
+    largest = told.agg(F.max("n")).first()[0] or 0
+    # payloads that are never deduplicated, equal ones too, are dealt out by themselves
+    key = F.when(F.col("n") >= LEAST_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    rows = base.withColumn("key", key).join(groups, "key", "left")
+    rows = rows.withColumn("keeper", F.when(F.col("page_id").eqNullSafe(F.col("keeper")), None).otherwise(F.col("keeper"))).withColumn("payload", F.col("payload").cast("binary"))
+    least = -1
+    for most_bytes, most in ARCHIVE_RECORDS:
+        some = rows.where((F.col("n") > least) & (F.col("n") <= most_bytes)).select("page_id", "url", "payload", "digest", "keeper")
+        values = some.mapInArrow(_records(most), "value binary").select(F.col("value").cast("string").alias("value"))
+        values.write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(f"{path}/upto-{most_bytes}")
+        least = most_bytes
+        if largest <= most_bytes:
+            break
+
+
+def _unpacked(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each gzip member; a plain file is one piece."""
+    if data[:2] != b"\x1f\x8b":
+        yield 0, data
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        d, parts, to = zlib.decompressobj(wbits=31), [], at
+        while not d.eof:
+            if to >= len(data):
+                raise ValueError(f"the member at byte {at} is cut short")
+            piece = view[to : to + (1 << 16)]
+            parts.append(d.decompress(piece))
+            to += len(piece)
+        yield at, b"".join(parts)
+        at = to - len(d.unused_data)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Records of an archive: offset, headers by lower-case name, block. Raises ValueError where the form is broken."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield at, headers, block
-        at = end + 8 + size
+    """Records of an archive: offset (of the gzip member, or in a plain file), headers by lower-case name, block. Raises ValueError where the form is broken."""
+    plain = data[:2] != b"\x1f\x8b"
+    held, offset = b"", 0
+    for at, piece in _unpacked(data):
+        if not held:
+            offset = at
+        held, pos = held + piece, 0
+        while pos < len(held):
+            end = held.find(_END, pos)
+            lines = held[pos : max(end, pos)].decode("utf-8", "surrogatepass").split("\r\n")
+            if end >= 0 and not lines[0].startswith("WARC/"):
+                raise ValueError(f"no WARC record at byte {offset}")
+            headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+            if end >= 0 and not headers.get("content-length", "").isdigit():
+                raise ValueError(f"the record at byte {offset} has no length")
+            to = end + 4 + int(headers["content-length"]) + 4 if end >= 0 else len(held) + 1
+            if to > len(held):
+                break
+            if held[to - 4 : to] != _END:
+                raise ValueError(f"the record at byte {offset} doesn't end where it says")
+            yield offset, headers, held[end + 4 : to - 4]
+            offset += to - pos if plain else 0
+            pos = to
+        held = held[pos:]
+    if held:
+        raise ValueError(f"the record at byte {offset} is cut short")
 
 
 def _page_of(uri: str | None) -> int | None:
@@ -109,13 +184,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(b.column("path"), b.column("content"), strict=True):
             rows = []
             for at, headers, block in parse_archive(content.as_py()):
+                if headers["warc-type"] == "warcinfo":
+                    continue
                 digest, n = headers["warc-payload-digest"].removeprefix("sha1:"), int(headers["x-payload-length"])
                 if headers["warc-type"] == "response":
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
+                    payload = block[block.index(_END) + 4 :]
                     if hashlib.sha1(payload).hexdigest() != digest or len(payload) != n:
                         raise ValueError(f"the payload at byte {at} of {path} doesn't match its digest")
                 rows.append((_page_of(headers["warc-record-id"]), headers.get("warc-target-uri", ""), headers["warc-date"], headers["warc-type"], n, digest, _page_of(headers.get("warc-refers-to")), at))
-            name = path.as_py().rpartition("/")[2]
+            name = "/".join(path.as_py().split("/")[-2:])
             if rows:
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -123,8 +200,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: page_id, url, time, record_type, payload_bytes, payload_digest, refers_to, offset, archive. Payloads are checked against their digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    """One row per record: page_id, url, time, record_type, payload_bytes, payload_digest, refers_to, archive and the offset in it. Payloads are checked against their digests."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     schema = "page_id bigint, url string, time string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, offset bigint, archive string"
     return files.mapInArrow(_read, schema)
 
@@ -189,7 +266,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_index(captures: DataFrame) -> DataFrame:
     """``captures`` (as read) with url_key and capture_rank, their place in the global order by URL key, time and page id, from 0."""
     runs = captures.withColumn("url_key", url_key(F.col("url"))).drop("url")
-    # an archive's captures, in order: its run (an archive holds ARCHIVE_RECORDS at most)
+    # an archive's captures, in order: its run (of 1000 at most)
     in_run = Window.partitionBy("archive").orderBy("url_key", "time", "page_id", "offset")
     runs = materialise(runs.withColumn("seq", F.row_number().over(in_run)), "runs")
     n = max(1, -(-runs.count() // RANGE_CAPTURES), int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
