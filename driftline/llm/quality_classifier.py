@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .docstats import FEATURES, statistics
 from .words import LOOSE, Words, by_bytes, mix, shingles
@@ -51,8 +52,12 @@ def min_hashes(texts: Sequence[str | None]) -> np.ndarray:
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sum of each text's values, which does not depend on the texts around it."""
+    out = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(values.astype(np.float64), offsets[some])
+    return out
 
 
 @dataclass
@@ -66,7 +71,7 @@ class Logistic:
     def margin(self, texts: Sequence[str | None]) -> np.ndarray:
         buckets, offsets = word_sets(texts)
         x = np.clip((statistics(texts)[1] - self.mean) / self.scale, -4, 4)
-        return np.clip(_sums(self.words[buckets], offsets) + x @ self.dense + self.bias, -30, 30)
+        return np.clip(_sums(self.words[buckets], offsets) + (x * self.dense).sum(axis=1) + self.bias, -30, 30)
 
 
 def telling_words(buckets: np.ndarray, offsets: np.ndarray, y: np.ndarray, least: float = LEAST_G2) -> np.ndarray:
@@ -83,7 +88,7 @@ def telling_words(buckets: np.ndarray, offsets: np.ndarray, y: np.ndarray, least
 
 
 def unlike(marks: np.ndarray) -> np.ndarray:
-    """Rows of which no earlier row has either of the two min-hashes: near copies would count as so many witnesses for their words."""
+    """Rows, in a fixed order, of which no earlier row has either of the two min-hashes: near copies would count as so many witnesses for their words."""
     seen: set[tuple[int, int]] = set()
     keep = np.zeros(len(marks), dtype=bool)
     for i, pair in enumerate(marks.tolist()):
@@ -126,7 +131,12 @@ def fit(buckets: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, toxic_col: str, max_train: int = MAX_TRAIN) -> Logistic:
-    """The document model for P(quality = 1 and not toxic) on at most ``max_train`` labelled documents."""
+    """The document model for P(quality = 1 and not toxic) on at most ``max_train`` labelled documents.
+
+    Nothing depends on how rows are dealt or in which order they arrive: of several
+    texts with one id the least counts, and documents are taken in the order of a
+    hash of their ids.
+    """
     y = columns_as(labels, id=id_col, q=quality_col, t=toxic_col).where("q is not null and id is not null")
     y = y.groupBy("id").agg(F.min("q").alias("q"), F.coalesce(F.max("t"), F.lit(0)).alias("t"))
     y = materialise(bounded_sample(materialise(y, "labels"), "id", max_train), "sample")
@@ -138,11 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, qualit
                 buckets, offsets = word_sets(texts[lo:hi])
                 x = statistics(texts[lo:hi])[1]
                 marks = min_hashes(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([b.column("q").slice(lo, hi - lo), b.column("t").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * 2), pa.array(marks.ravel())), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(buckets)), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["q", "t", "marks", "words", "x"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in ("rank", "key", "q", "t")], pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * 2), pa.array(marks.ravel())), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(buckets)), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["rank", "key", "q", "t", "marks", "words", "x"])
 
     # the sample has max_train rows of a number each at most: a proven bound for broadcasting
-    rows = columns_as(docs, id=id_col, text=text_col).join(F.broadcast(y), "id").dropDuplicates(["id"])
-    table = rows.select("text", F.col("q").cast("int").alias("q"), F.col("t").cast("int").alias("t")).mapInArrow(features, "q int, t int, marks array<bigint>, words array<int>, x array<double>").toArrow()
+    rows = columns_as(docs, id=id_col, text=text_col).join(F.broadcast(y), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("q").alias("q"), F.min("t").alias("t"))
+    rows = rows.select("text", F.xxhash64("id").alias("rank"), F.col("id").cast("string").alias("key"), F.col("q").cast("int").alias("q"), F.col("t").cast("int").alias("t"))
+    table = rows.mapInArrow(features, "rank bigint, key string, q int, t int, marks array<bigint>, words array<int>, x array<double>").toArrow()
+    table = table.sort_by([("rank", "ascending"), ("key", "ascending")])
     keep = unlike(table["marks"].combine_chunks().flatten().to_numpy().reshape(-1, 2)) if len(table) else np.zeros(0, dtype=bool)
     table = table.filter(pa.array(keep)).combine_chunks()
     if not len(table):
@@ -155,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, qualit
 
 
 def _scored(rows: DataFrame, model: Logistic) -> DataFrame:
-    """``rows`` with a column of the document's log-odds; the text goes if it is named only for scoring."""
+    """``rows`` with the document's log-odds in place of its text (``__text``)."""
     names = [c for c in rows.columns if c != "__text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,20 +176,24 @@ def _scored(rows: DataFrame, model: Logistic) -> DataFrame:
             m = np.concatenate([model.margin(texts[lo:hi]) for lo, hi in by_bytes(texts)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(m)], names=[*names, "__logit"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     schema = StructType([f for f in rows.schema if f.name != "__text"] + [StructField("__logit", DoubleType())])
     return rows.mapInArrow(score, schema)
 
 
+#: Probabilities are summed as whole multiples of 1 / UNIT, other terms as decimals, so that sums do not depend on the order of rows.
+UNIT = 1 << 24
+_EXACT = "decimal(38,12)"
+
+
 def _strength(groups: DataFrame, mean: str) -> float:
     """Prior strength by the method of moments: how many documents the level above is worth to these groups (n, s)."""
     mean = f"CAST({mean} AS DOUBLE)"
-    row = groups.agg(F.sum("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.expr(mean), 2)), F.sum(F.expr(f"({mean}) * (1 - ({mean}))")), F.avg(F.expr(f"({mean}) * (1 - ({mean}))"))).first()
-    if not row[0]:
+    spread = (F.col("n") * F.pow(F.col("s") / F.col("n") - F.expr(mean), F.lit(2))).cast(_EXACT)
+    noise = F.expr(f"({mean}) * (1 - ({mean}))").cast(_EXACT)
+    n, between, within, count = groups.agg(F.sum("n"), F.sum(spread), F.sum(noise), F.count("*")).first()
+    if not n:
         return LEAST_STRENGTH
-    between = max((row[1] - row[2]) / row[0], 1e-9)
-    return float(np.clip(row[3] / between - 1, LEAST_STRENGTH, MOST_STRENGTH))
+    return float(np.clip(float(within) / count / max((float(between) - float(within)) / n, 1e-9) - 1, LEAST_STRENGTH, MOST_STRENGTH))
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
@@ -185,10 +201,12 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
 
     Rates are shrunk: path toward host, host toward the corpus.
     """
-    paths = materialise(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = materialise(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
-    total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
-    mean = float(np.clip(0.5 if total is None else total, 1e-3, 1 - 1e-3))
+    units = F.sum(F.round(F.col("p") * UNIT).cast("bigint"))
+    paths = materialise(scored.groupBy("host", "path").agg(F.count("*").alias("n"), units.alias("units")), "paths")
+    hosts = materialise(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("units").alias("units")), "hosts")
+    total, n = hosts.agg(F.sum("units"), F.sum("n")).first()
+    mean = float(np.clip(total / UNIT / n if n else 0.5, 1e-3, 1 - 1e-3))
+    paths, hosts = (x.withColumn("s", F.col("units") / float(UNIT)) for x in (paths, hosts))
     k = _strength(hosts, repr(mean))
     posterior = hosts.select("host", ((k * mean + F.col("s")) / (k + F.col("n"))).alias("host_quality"))
     under = paths.join(posterior, "host")
@@ -196,13 +214,15 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return under.select("host", "path", "host_quality", ((k * F.col("host_quality") + F.col("s")) / (k + F.col("n"))).alias("path_quality")), mean
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", path_col: str | None = "lang", quality_col: str = "quality", toxic_col: str = "toxic", threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Every row as a struct ``document`` of all its columns, with doc_quality, host_quality, path_quality, score and kept.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", path_col: str | None = "lang", quality_col: str = "quality", toxic_col: str = "toxic", threshold: float = 0.5, max_train: int = MAX_TRAIN, carry: Sequence[str] | None = None) -> DataFrame:
+    """Every row as a struct ``document`` of its columns (all, or those of ``carry``), with doc_quality, host_quality, path_quality, score and kept.
 
     Documents without a word (null or empty texts) carry no evidence of quality and
     are rejected. A null host or path is the host or path ''. Rows are judged each
     by itself, whatever their id. Without labels of both classes the document model
-    is a constant. An empty table gives an empty result.
+    is a constant. An empty table gives an empty result. Scores are the same to the
+    last bit however the rows are dealt. Texts are read once to fit and once to
+    score; rows are written with their evidence, and then meet their site's posterior.
     """
     small_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, quality_col, toxic_col, max_train)
@@ -213,14 +233,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def sigmoid(x):
         return 1 / (1 + F.exp(-x))
 
-    text = F.col(f"`{text_col}`").alias("__text")
-    small = materialise(_scored(docs.select(site(host_col).alias("host"), site(path_col).alias("path"), text), model), "evidence")
-    posteriors, mean = site_posteriors(small.select("host", "path", sigmoid(F.col("__logit")).alias("p")))
+    text = F.col(f"`{text_col}`")
+    has_word = F.coalesce(text.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
+    columns = docs.columns if carry is None else list(carry)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document"), site(host_col).alias("host"), site(path_col).alias("path"), has_word.alias("has_word"), text.alias("__text"))
+    rows = materialise(_scored(rows, model), "evidence", wide=True)
+    posteriors, mean = site_posteriors(rows.select("host", "path", sigmoid(F.col("__logit")).alias("p")))
     posteriors = materialise(posteriors, "posteriors")
-    # scored again rather than joined by id: rows may share an id, and texts need not be shuffled for it
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), site(host_col).alias("host"), site(path_col).alias("path"), text)
-    rows = _scored(rows, model).join(posteriors, ["host", "path"])
     shift = F.log(F.col("path_quality") / (1 - F.col("path_quality"))) - float(np.log(mean / (1 - mean)))
-    has_word = F.coalesce(F.col("document").getField(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
-    rows = rows.withColumn("score", sigmoid(F.col("__logit") + shift))
-    return rows.select("document", sigmoid(F.col("__logit")).alias("doc_quality"), "host_quality", "path_quality", "score", (has_word & (F.col("score") >= threshold)).alias("kept"))
+    rows = rows.join(posteriors, ["host", "path"]).withColumn("score", sigmoid(F.col("__logit") + shift))
+    return rows.select("document", sigmoid(F.col("__logit")).alias("doc_quality"), "host_quality", "path_quality", "score", (F.col("has_word") & (F.col("score") >= threshold)).alias("kept"))

@@ -44,7 +44,9 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_
     y = columns_as(labels, id=id_col, y=label_col).where("y is not null").groupBy("id").agg(F.max("y").alias("y"))
     y = materialise(bounded_sample(materialise(y, "labels"), "id", max_train), "sample")
     # max_train rows of a number each at most: a proven bound for broadcasting
-    sample = stats.select("id", "features").join(F.broadcast(y), "id").dropDuplicates(["id"]).select("features", F.col("y").cast("int").alias("y")).toPandas()
+    sample = stats.select("id", "features").join(F.broadcast(y), "id").groupBy("id").agg(F.min("features").alias("features"), F.min("y").cast("int").alias("y"))
+    # of several texts with one id the least features count; the order is that of a hash, so nothing depends on how rows arrive
+    sample = sample.select(F.xxhash64("id").alias("rank"), F.col("id").cast("string").alias("key"), "features", "y").toPandas().sort_values(["rank", "key"])
     x = np.array(sample["features"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     return boosting.fit(x, sample["y"].to_numpy(dtype=float), np.array([m for _, m in FEATURES]))
 

@@ -46,8 +46,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rows = classify(docs, _table(spark, sf_dir, "labels"))
+    rows = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
     return rows.select("document.doc_id", "doc_quality", "host_quality", "path_quality", "score", "kept")
 
 

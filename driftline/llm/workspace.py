@@ -67,7 +67,8 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     if n <= most:
         return rows
     part = max(0.0, most - 5 * most**0.5) / n
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(part * (1 << 30))).limit(most)
+    mark = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return rows.where(mark < int(part * (1 << 30))).orderBy(mark, key).limit(most)
 
 
 def columns_as(df: DataFrame, **wanted: str | None) -> DataFrame:
