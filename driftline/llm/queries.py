@@ -15,9 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .token_counts import count_tokens
+    from .token_counts import DigestCache, count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    # the cache outlives the query where the session names a folder for it
+    path = spark.conf.get("spark.driftline.tokenCache", None)
+    cache = DigestCache(spark, path) if path else None
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache, limit=1024)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of local sessions, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a fresh temporary one only where none is named, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where none is named: a temporary one if all runs on this machine, as in tests, and else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not found:
-        own = tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", own)
-        found = own
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="driftline-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
@@ -40,11 +47,10 @@ def materialise(df: DataFrame, tag: str, wide: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, through Hadoop's file system layer."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
 
 
 #: Bytes of rows that go to a worker at once; some copies of them are in memory on either side.
