@@ -98,16 +98,25 @@ def track_layer(obs: DataFrame, three_d: bool = False) -> DataFrame:
 
 
 def peaks(rows: DataFrame, by: str, position: str, score: str, separation: float) -> DataFrame:
-    """Highest positions that keep ``separation`` from every higher one kept: greedy within a group, groups side by side."""
+    """Highest positions that keep ``separation`` from every higher one kept: greedy within a group, groups side by side.
+
+    Only the kept neighbours on either side of a position can be too near, so each
+    position costs one search among them.
+    """
+    import bisect
+
+    import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        at = pdf[position].to_numpy()
-        for i in pdf.sort_values([score, position], ascending=[False, True], kind="stable").index:
-            k = pdf.index.get_loc(i)
-            if all(abs(at[k] - at[j]) >= separation for j in kept):
-                kept.append(k)
-        return pdf.iloc[sorted(kept)]
+        at, height = pdf[position].to_numpy(dtype=float), pdf[score].to_numpy(dtype=float)
+        taken: list[float] = []
+        kept = np.zeros(len(pdf), dtype=bool)
+        for k in np.lexsort((at, -height)).tolist():
+            i = bisect.bisect_left(taken, at[k])
+            if (i == 0 or at[k] - taken[i - 1] >= separation) and (i == len(taken) or taken[i] - at[k] >= separation):
+                taken.insert(i, at[k])
+                kept[k] = True
+        return pdf[kept]
 
     return rows.groupBy(by).applyInPandas(run, rows.schema)

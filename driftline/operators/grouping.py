@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,32 +37,48 @@ def split_summary(rows: DataFrame, split: str, unit: str) -> DataFrame:
     return rows.groupBy(split).agg(F.count_distinct(unit).alias("n_units"), F.count("*").alias("n_rows"))
 
 
-def lineage(edges: DataFrame, start: int, most: int = 100) -> DataFrame:
-    """All ancestors of ``start`` over ``edges`` (child, parent), with their distance: a recursive common table expression."""
-    edges.createOrReplaceTempView("driftline_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up (node, depth) AS (
-          SELECT CAST({int(start)} AS BIGINT), 0
-          UNION ALL SELECT e.parent, u.depth + 1 FROM up u JOIN driftline_edges e ON e.child = u.node WHERE u.depth < {int(most)} AND e.parent IS NOT NULL)
-        SELECT node, min(depth) AS depth FROM up GROUP BY node""")
-
-
-def components(links: DataFrame, checkpoint=None, rounds: int = 50) -> DataFrame:
-    """(node, root): the least node that links (a, b) reach, by minimum labels with pointer jumping.
-
-    ``checkpoint`` cuts the lineage of each round; without it, DataFrame.checkpoint
-    is used where the session names a folder for it.
+def _cut(spark, checkpoint=None):
+    """How a round's table is cut off from its lineage: as asked, or by a checkpoint in the folder that the session names."""
+    if checkpoint:
+        return checkpoint
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="driftline-"))
+    return lambda df: df.checkpoint()
+
+
+def lineage(edges: DataFrame, start: int | DataFrame, checkpoint=None) -> DataFrame:
+    """All ancestors of ``start`` (a node, or a table of them in column ``node``) over ``edges`` (child, parent), with their least distance, however far; a start has distance 0. Cycles end where they close."""
+    spark = edges.sparkSession
+    cut = _cut(spark, checkpoint)
+    first = start if isinstance(start, DataFrame) else spark.createDataFrame([(start,)], "node bigint")
+    known = edge = first.select(F.col("node").cast("bigint").alias("node"), F.lit(0).alias("depth")).distinct()
+    edges = edges.select(F.col("child").cast("bigint").alias("node"), F.col("parent").cast("bigint").alias("parent")).where("parent is not null")
+    depth = 0
+    while True:
+        depth += 1
+        edge = cut(edge.join(edges, "node").select(F.col("parent").alias("node")).distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if edge.isEmpty():
+            return known
+        known = cut(known.unionByName(edge))
+
+
+def components(links: DataFrame, checkpoint=None) -> DataFrame:
+    """(node, root): the least node that links (a, b) reach, by minimum labels with pointer jumping, until no label changes.
+
+    ``checkpoint`` cuts the lineage of each round; without it, rounds are checkpoints
+    in the folder that ``spark.checkpoint.dir`` names.
     """
-    spark = links.sparkSession
-    cut = checkpoint or ((lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.cache()))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    cut = _cut(links.sparkSession, checkpoint)
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         after = cut(step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", "old", F.least("root", "next").alias("root")))
-        changed = after.where("old <> root").limit(1).count()
         labels = after.select("node", "root")
-        if not changed:
-            break
-    return labels
+        if after.where("old <> root").isEmpty():
+            return labels

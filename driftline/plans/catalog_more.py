@@ -260,10 +260,12 @@ def split_summary(spark, sf_dir):
     return grouping.split_summary(table(spark, sf_dir, "documents").withColumnRenamed("source", "split"), "split", "lang")
 
 
-@query("WITH RECURSIVE up(node, depth) AS (SELECT CAST(199 AS BIGINT), 0 UNION ALL SELECT e.parent, depth + 1 FROM up JOIN (SELECT doc_id AS child, doc_id // 2 AS parent FROM documents WHERE doc_id > 0) e ON e.child = node WHERE depth < 100) SELECT node, min(depth) AS depth FROM up GROUP BY node")
+@query("WITH RECURSIVE up(node, depth) AS (SELECT max(doc_id), 0 FROM documents UNION ALL SELECT e.parent, depth + 1 FROM up JOIN (SELECT doc_id AS child, doc_id // 2 AS parent FROM documents WHERE doc_id > 0) e ON e.child = node) SELECT node, min(depth) AS depth FROM up GROUP BY node")
 def lineage(spark, sf_dir):
-    edges = table(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").alias("child"), F.expr("doc_id div 2").alias("parent"))
-    return grouping.lineage(edges, 199)
+    """All ancestors of the newest document, where each comes from the one of half its number."""
+    docs = table(spark, sf_dir, "documents")
+    edges = docs.where("doc_id > 0").select(F.col("doc_id").alias("child"), F.expr("doc_id div 2").alias("parent"))
+    return grouping.lineage(edges, docs.agg(F.max("doc_id").alias("node")))
 
 
 def _same_text(spark, sf_dir):

@@ -183,3 +183,70 @@ def test_command_line(spark, tmp_path):
     assert main(["show", out]) == 0
     assert main(["show", str(tmp_path / "none")]) == 3
     assert main(["analyse"]) == 2
+
+
+def test_long_chains_and_cycles(spark):
+    """Neither ancestors nor components end at a fixed depth."""
+    from driftline.operators import grouping
+
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 130)] + [(0, 5), (7, None)], "child bigint, parent bigint")
+    got = {r.node: r.depth for r in grouping.lineage(edges, 129, checkpoint=lambda df: spark.createDataFrame(df.collect(), df.schema)).collect()}
+    assert got == {129 - k: k for k in range(130)}
+
+
+def test_margins_of_rows_and_columns():
+    """Against leaving each match's row and column out one by one."""
+    import numpy as np
+
+    from driftline.functions import assign
+
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        costs = rng.integers(0, 8, (rng.integers(1, 6), rng.integers(1, 6))).astype(float)
+        costs[rng.random(costs.shape) < 0.3] = assign.FORBIDDEN
+        matches = assign.match(costs, 5.0)
+        want = {(i, j): min([10.0] + [costs[i, k] for k in range(costs.shape[1]) if k != j] + [costs[k, j] for k in range(costs.shape[0]) if k != i]) - costs[i, j] for i, j in matches}
+        assert assign.local_margins(costs, matches, 5.0) == want
+
+
+def test_workbook_limits_and_kinds():
+    import zipfile
+    from io import BytesIO
+
+    import pytest
+
+    from driftline.sinks import tables
+
+    data = tables.workbook([("a/b", ["x", "y"], [[True, 0.1 + 0.2], [None, float("nan")], [3, "<\x00&\ud800>"]])])
+    sheet = zipfile.ZipFile(BytesIO(data)).read("xl/worksheets/sheet1.xml").decode()
+    assert '<c r="A2" t="b"><v>1</v></c><c r="B2"><v>0.3</v></c>' in sheet and "&lt;&amp;&gt;" in sheet and 'r="A3"' not in sheet.replace('row r="A3"', "")
+    with pytest.raises(ValueError):
+        tables.workbook([("wide", ["c"] * 20_000, [])])
+
+
+def test_units_in_any_spelling(spark):
+    from pyspark.sql import functions as F
+
+    from driftline.functions import precision
+
+    rows = spark.createDataFrame([(u,) for u in (" µm", "μm", "\\u00b5m", "um", "UM", "micron", "nm", "cm", "inch", None, "")], "u string")
+    got = [r[0] for r in rows.select(precision.um_per_unit(F.col("u"))).collect()]
+    assert got == [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1e-3, 1e4, None, None, None]
+
+
+def test_peaks_against_plain(spark):
+    import random
+
+    from driftline.operators import audit
+
+    rng = random.Random(6)
+    rows = [(g, float(rng.randrange(60)), rng.randrange(9)) for g in range(3) for _ in range(40)]
+    want = []
+    for g in range(3):
+        kept = []
+        for _, p, s in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            if all(abs(p - q) >= 5 for q, _ in kept):
+                kept.append((p, s))
+        want += [(g, *k) for k in kept]
+    got = audit.peaks(spark.createDataFrame(rows, "g int, p double, s int"), "g", "p", "s", 5.0).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
