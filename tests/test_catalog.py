@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from driftline.plans import catalog, catalog_audit, catalog_extra, catalog_links, catalog_more, catalog_summary  # noqa: F401
+from driftline.plans import catalog, catalog_audit, catalog_extra, catalog_fields, catalog_links, catalog_more, catalog_summary  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from driftline.plans import catalog, catalog_audit, catalog_extra, catalog_links, catalog_more, catalog_summary  # noqa: F401
+from driftline.plans import catalog, catalog_audit, catalog_extra, catalog_fields, catalog_links, catalog_more, catalog_summary  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
