@@ -44,7 +44,16 @@ def materialise(df: DataFrame, tag: str, wide: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     (df if wide else few_files(df)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._driftline_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again: what was made from them has been written too."""
+    for df in tables:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._driftline_path.rpartition("/")[0])
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
