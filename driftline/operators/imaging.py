@@ -47,6 +47,30 @@ def register(frames: DataFrame) -> DataFrame:
     return frames.join(ref, "movie").mapInPandas(run, "movie bigint, frame int, dx double, dy double, peak double")
 
 
+def forward_backward(frames: DataFrame) -> DataFrame:
+    """How far the shift from each frame to its movie's next one and the shift back miss each other: movie, frame, next_frame, dx, dy, error_px.
+
+    Frames meet their successor by equality of places, so any frame's pair is a task's
+    row; a consistent motion has an error near 0.
+    """
+    from pyspark.sql import Window
+
+    after = frames.select("movie", "frame").withColumn("next_frame", F.lead("frame").over(Window.partitionBy("movie").orderBy("frame"))).where("next_frame is not null")
+    side = frames.select("movie", F.col("frame").alias("next_frame"), F.col("pixels").alias("next_pixels"))
+    both = frames.select("movie", "frame", "height", "width", "pixels").join(after, ["movie", "frame"]).join(side, ["movie", "next_frame"])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                a, b = image(r.pixels, r.height, r.width), image(r.next_pixels, r.height, r.width)
+                (fx, fy, _), (bx, by, _) = shift_between(a, b), shift_between(b, a)
+                rows.append((r.movie, r.frame, r.next_frame, (fx - bx) / 2, (fy - by) / 2, float(np.hypot(fx + bx, fy + by))))
+            yield pd.DataFrame(rows, columns=["movie", "frame", "next_frame", "dx", "dy", "error_px"])
+
+    return both.mapInPandas(run, "movie bigint, frame int, next_frame int, dx double, dy double, error_px double")
+
+
 def stretch(values: np.ndarray) -> np.ndarray:
     """An image for display: the 0.5 to 99.5 percentile to 0 to 255."""
     lo, hi = np.percentile(values, [0.5, 99.5])

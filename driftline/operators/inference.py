@@ -59,8 +59,9 @@ def track_bootstrap(rows: DataFrame, n_boot: int = 200, seed: int = 0, level: fl
     per = rows.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     draws = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", unit), F.lit(1 << 30)) / float(1 << 30)).alias("u")
+    # u has 30 bits: beyond 13 a draw has a chance below one of its steps
     steps, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 9):
+    for k in range(1, 14):
         total += term
         steps = steps + (F.col("u") >= total).cast("int")
         term /= k

@@ -18,20 +18,33 @@ from ..schema import Scale
 LINKED = "movie bigint, track_id int, frame int, label int, x double, y double, match_cost double"
 
 
-def link_stream(detections: DataFrame, scale: Scale, settings: LinkSettings = LinkSettings(close_gaps=False)) -> DataFrame:
+def link_stream(detections: DataFrame, scale: Scale, settings: LinkSettings = LinkSettings(close_gaps=False), late: str = "error", n_frames: int | None = None, idle_ms: int | None = None) -> DataFrame:
     """Detections (movie and the columns of a detection), arriving frame by frame, to linked ones.
 
     A movie's state is its live tracks only: one that was not seen for the gap limit
-    is dropped, so state does not grow with the stream. A detection of a frame that
-    was linked already comes too late and is dropped.
+    is dropped, so state does not grow with the stream, and with ``idle_ms`` a movie
+    without rows for so many milliseconds is let go whole. A detection of a frame that was linked already is an
+    error that ends the query; with ``late`` "report" it comes out without a track,
+    as does one of a frame before 0 or from ``n_frames`` on, so that they can be
+    counted.
     """
+    if late not in ("error", "report"):
+        raise ValueError(f"late must be error or report, not {late}")
+    columns = [c.split()[0] for c in LINKED.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         linker, last = pickle.loads(state.get[0]) if state.exists else (Linker(scale, settings), -1)
-        pdf = pd.concat(list(batches))
-        pdf = pdf[pdf["frame"] > last].sort_values(["frame", "label"])
-        out = []
-        for frame, rows in pdf.groupby("frame"):
+        pdf = pd.concat(list(batches)).sort_values(["frame", "label"])
+        outside = (pdf["frame"] < 0) | (pdf["frame"] >= (n_frames if n_frames is not None else float("inf")))
+        behind = ~outside & (pdf["frame"] <= last)
+        if late == "error" and behind.any():
+            raise ValueError(f"movie {key[0]}: frame {int(pdf.loc[behind, 'frame'].iloc[0])} came after frame {last}")
+        unlinked = pdf[outside | behind]
+        out = [(key[0], None, int(r.frame), r.label, r.x, r.y, None) for r in unlinked.itertuples()]
+        for frame, rows in pdf[~(outside | behind)].groupby("frame"):
             linker.step(int(frame), list(rows[list(DETECTION)].itertuples(index=False, name="Detection")))
             last = int(frame)
             for t in linker.tracks:
@@ -43,9 +56,11 @@ def link_stream(detections: DataFrame, scale: Scale, settings: LinkSettings = Li
         for t in linker.tracks:
             t.seen = [(_plain(d), *rest) for d, *rest in t.seen]
         state.update((pickle.dumps((linker, last)),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LINKED.split(", ")])
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=columns).astype({"track_id": "Int32"})
 
-    return detections.groupBy("movie").applyInPandasWithState(run, LINKED, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return detections.groupBy("movie").applyInPandasWithState(run, LINKED, "state binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 class _Seen:
