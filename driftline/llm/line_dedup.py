@@ -23,9 +23,9 @@ BLANKS = " \t\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("row", "id", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.select("row", "row2", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", F.trim(F.col("line"), F.lit(BLANKS))).where("line <> ''")
-    return lines.select("row", "site", "pos", F.unhex(F.md5("line")).alias("key"))
+    return lines.select("row", "row2", "site", "pos", F.unhex(F.md5("line")).alias("key"))
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -50,24 +50,27 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id"
 
     Blank lines are never boilerplate. A null text stays null with 0 lines; an empty
     text is one blank line. A null site counts as none. Rows with the same id, null
-    or repeated, are cleaned each by itself, for rows are told apart by the digest
-    of id, site and text (rows equal in all three are cleaned alike). A line that a
+    or repeated, are cleaned each by itself, for rows are told apart by 128 bits of
+    hashes of id, site and text (rows equal in all three are cleaned alike). A line that a
     single site repeats, however often, stays. An empty table gives an empty result.
     """
     docs = columns_as(docs, id=id_col, text=text_col, site=site_col)
-    docs = docs.withColumn("row", F.xxhash64("id", "site", "text"))
+    docs = docs.withColumns({"row": F.xxhash64("id", "site", "text"), "row2": F.xxhash64(F.lit(2), "text", "site", "id")})
     lines = _lines(docs)
     keys = materialise(boilerplate_lines(lines, min_sites).select("key"), "boilerplate")
     # Only positions travel, not lines; copies of a row have the same positions.
-    removed = lines.join(keys, "key", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("removed"))
-    joined = docs.join(removed, "row", "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    return joined.select(
+    removed = lines.join(keys, "key", "left_semi").groupBy("row", "row2").agg(F.collect_set("pos").alias("removed"))
+    # texts travel as their lines, which are split once
+    split = docs.select("id", "row", "row2", F.split("text", "\n").alias("split"))
+    n_lines = F.coalesce(F.size("split"), F.lit(0))
+    # a difference of sets of places, so the work is in proportion to the lines
+    left = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "removed")
+    kept = F.when(F.col("removed").isNull(), F.col("split")).otherwise(F.transform(left, lambda i: F.get("split", i)))
+    return split.join(removed, ["row", "row2"], "left").select(
         F.col("id").alias(id_col),
-        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
+        F.when(F.col("split").isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
         F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("bigint").alias("n_removed"),
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.array_join(kept, "\n").alias("text"),
     )
 
 

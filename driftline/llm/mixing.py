@@ -10,6 +10,8 @@ one is repeated.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from .workspace import materialise
 
 #: The exponent is a multiple of 2**-20, found in 4 rounds of 32 equal parts.
 ROUNDS, PARTS = 4, 32
-#: Tokens of one block, about: what is ordered within one task.
-BLOCK_TOKENS = 1 << 17
+#: Tokens and rows of one block, about: what is ordered within one task.
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 17, 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -78,8 +80,8 @@ def source_quotas(sources: DataFrame, max_repeats: float | None, entropy_share:
     return shares.select("source", "tokens", weight.alias("weight"), quota.cast("bigint").alias("quota"))
 
 
-def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, entropy_share: float | None = None, budget_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows of the mix, one per document and epoch: ``document`` (a struct of all input columns), source, n_tokens, quota, epoch, at_token.
+def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, entropy_share: float | None = None, budget_tokens: int | str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the mix, one per document and epoch: ``document`` (a struct of all input columns, or of those in ``carry``), source, n_tokens, quota, epoch, at_token.
 
     at_token is where the document starts in its source's stream of ``quota``
     tokens; at_token / quota orders the whole mix with every source evenly spread.
@@ -87,19 +89,24 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, entropy_share:
     the source ''. Documents without words (null, empty) cost no tokens and are
     taken wherever their block's turn comes, at least once if the source is read
     whole; a source without any words is taken once. Repeated rows are taken each
-    by itself. An empty table gives an empty result. ``budget_tokens`` None is the
-    least budget that reads every document once.
+    by itself; rows without an id are told apart by where they lie. An empty table
+    gives an empty result. ``budget_tokens`` None is the least budget that reads
+    every document once, "corpus" the corpus's own tokens. Texts are read once.
     """
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
+        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("document"),
         F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
         n_words(F.col(f"`{text_col}`")).alias("n_tokens"),
-        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.md5(F.col(f"`{text_col}`")), F.lit("")).alias("key"),
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))).alias("key"),
     )
-    sources = materialise(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
-    some = source_quotas(sources.where("tokens > 0"), max_repeats, entropy_share, budget_tokens).select("source", "tokens", "quota")
+    rows = materialise(rows, "counted", wide=True)
+    sources = materialise(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
+    if budget_tokens == "corpus":
+        budget_tokens = sources.agg(F.sum("tokens")).first()[0]
+    some = source_quotas(sources.where("tokens > 0").select("source", "tokens"), max_repeats, entropy_share, budget_tokens).select("source", "tokens", "quota")
     none = sources.where("tokens = 0").select("source", "tokens", F.lit(0).cast("bigint").alias("quota"))
-    plan = some.unionByName(none).withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("bigint") + 1)
+    blocks = F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("bigint") + 1
+    plan = some.unionByName(none).join(sources.select("source", "rows"), "source").withColumn("blocks", blocks).drop("rows")
     plan = materialise(plan, "quotas")
     # the key alone decides the block, so a hot source spreads over its blocks before any shuffle needs the source whole
     blocked = rows.join(plan.select("source", "blocks"), "source").withColumn("block", _draw(F.lit("block"), F.col("key")) % F.col("blocks")).drop("blocks")
@@ -129,10 +136,10 @@ def _sql() -> str:
     GROUP BY k) WHERE repeats > 2.0)""")
     return f"""
 WITH doc AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(CAST(doc_id AS VARCHAR), md5(text), '') AS key,
+  SELECT doc_id, coalesce(source, '') AS source, CAST(doc_id AS VARCHAR) AS key,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens
   FROM documents
-), src AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM doc GROUP BY source),
+), src AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS n_rows FROM doc GROUP BY source),
 tot AS (SELECT CAST(sum(tokens) AS DOUBLE) AS t FROM src WHERE tokens > 0),
 share AS (SELECT source, tokens, tokens / (SELECT t FROM tot) AS p FROM src WHERE tokens > 0),
 {', '.join(rounds)},
@@ -142,8 +149,8 @@ quota AS (
   SELECT source, tokens, CAST(floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM share, expo) * (SELECT t FROM tot)) AS BIGINT) AS quota FROM share, expo
   UNION ALL SELECT source, tokens, 0 FROM src WHERE tokens = 0
 ), blocked AS (
-  SELECT d.*, quota, tokens, CAST('0x' || md5('block:' || key)[1:8] AS BIGINT) % (CAST(ceil(tokens / {BLOCK_TOKENS}.0) AS BIGINT) + 1) AS block
-  FROM doc d JOIN quota USING (source)
+  SELECT d.*, quota, tokens, CAST('0x' || md5('block:' || key)[1:8] AS BIGINT) % (CAST(greatest(ceil(tokens / {BLOCK_TOKENS}.0), ceil(n_rows / {BLOCK_ROWS}.0)) AS BIGINT) + 1) AS block
+  FROM doc d JOIN quota USING (source) JOIN (SELECT source, n_rows FROM src) USING (source)
 ), size AS (SELECT source, block, quota, tokens, sum(n_tokens) AS block_tokens FROM blocked GROUP BY ALL),
 ep AS (
   SELECT *, unnest(generate_series(0, greatest(CAST(ceil(quota / greatest(tokens, 1)) AS BIGINT) - 1, 0))) AS epoch FROM size

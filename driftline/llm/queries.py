@@ -79,11 +79,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix_sources, n_words
+    from .mixing import mix_sources
 
-    docs = _table(spark, sf_dir, "documents")
-    budget = docs.agg(F.sum(n_words(F.col("text")))).first()[0]
-    rows = mix_sources(docs.select("doc_id", "source", "text"), max_repeats=2.0, budget_tokens=budget)
+    rows = mix_sources(_table(spark, sf_dir, "documents"), max_repeats=2.0, budget_tokens="corpus", carry=["doc_id"])
     return rows.select("document.doc_id", "source", "n_tokens", "quota", "epoch", "at_token")
 
 

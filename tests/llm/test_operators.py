@@ -374,3 +374,21 @@ def test_nulls_repeats_and_clashing_columns(spark, name):
 
 def test_empty_pages(spark):
     assert warc.archive_and_index(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_many_lines(spark):
+    """A text of very many lines, some of them boilerplate; empty lines stay where they are."""
+    lines = [f"line {i}" if i % 3 else ("shared" if i % 2 else "") for i in range(60_000)]
+    rows = [(0, "\n".join(lines), "a"), (1, "shared\nown", "b"), (2, "\nshared\n", "c"), (3, None, "d"), (4, "", "e")]
+    got = by_id(line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), 3), "n_lines", "n_removed", "text")
+    kept = [x for x in lines if x != "shared"]
+    assert got == {0: (60_000, 60_000 - len(kept), "\n".join(kept)), 1: (2, 1, "own"), 2: (3, 1, "\n"), 3: (0, 0, None), 4: (1, 0, "")}
+
+
+def test_mixing_of_wordless_and_nameless_rows(spark, monkeypatch):
+    """A source of many rows without words has blocks by its rows; rows without ids are taken each by itself."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 100)
+    rows = [(None, None, "hot")] * 500 + [(None, "a b", "s")] * 50 + [(i, "c d e", "s") for i in range(50)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA.split(", lang")[0] + ", source string")).collect()
+    assert sum(r.source == "hot" for r in out) == 500 and sum(r.source == "s" for r in out) >= 100
+    assert len({r.at_token for r in out if r.source == "s" and r.epoch == 0}) == 100
