@@ -9,29 +9,34 @@ similarity of their 5-word shingles.
 
 A window that shares no shingle with any item has similarity 0 and needs no
 fingerprint; a bitmap of the items' shingles tells these before any is computed.
+
+Indexes are built by tasks, about ITEMS_A_PASS items each, as files in the shared
+folder that workers map into memory: the documents are read once, whatever the size
+of the benchmark, and no items pass through the driver.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
+from .shared_files import map_arrays, qualified, write_arrays
 from .words import LOOSE, Words, by_bytes, mix, shingles
-from .workspace import small_batches
+from .workspace import fresh_path, materialise, small_batches
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, FLIPS = 8, 16, 3
 #: Pigeonhole: BLOCKS * (FLIPS + 1) - 1.
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: Items in one index, about; a larger benchmark is searched in several passes over the documents.
+#: Items in one index file, about.
 ITEMS_A_PASS = 1024
 #: Windows fingerprinted at once, and the words that they may start in.
 WINDOWS, SPAN = 8192, 8192
@@ -71,7 +76,7 @@ def _masks() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Items:
-    """Benchmark items as word hashes; ``key`` tells one set from another in a worker's cache.
+    """Benchmark items as word hashes.
 
     ``shared`` are the shingles of several items of the whole benchmark of ``total``
     items, in order, and ``times`` in how many they are; all others are in one or none.
@@ -86,32 +91,60 @@ class Items:
     times: bytes = b""
 
 
+def _index_arrays(ids: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
+    """What an index file holds: ids, words with their offsets, known shingles, their bitmap, fingerprints, and a table for each block."""
+    sets = [np.unique(shingles(w, min(SHINGLE, len(w)))) for w in words]
+    known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+    bitmap = np.zeros(1 << 20, dtype=np.uint8)
+    bitmap[(known >> np.uint64(44)).astype(np.int64)] = 1
+    prints = np.concatenate([Prints(w).of(np.array([0]), np.array([len(w)])) for w in words]) if words else np.zeros((0, BLOCKS), np.uint16)
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    tables = [x for b in range(BLOCKS) for x in _table(prints[:, b])]
+    return [ids, np.concatenate([*words, np.zeros(0, np.uint64)]), offsets, known, np.packbits(bitmap, bitorder="little"), prints.ravel(), *tables]
+
+
+def _table(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items by every value within FLIPS flips of their own block: where each value's items start, and the items."""
+    near = (block[:, None] ^ _masks()[None, :]).astype(np.int64)
+    owner = np.repeat(np.arange(len(block), dtype=np.int32), near.shape[1])
+    order = np.argsort(near.ravel(), kind="stable")
+    return np.searchsorted(near.ravel()[order], np.arange((1 << BLOCK_BITS) + 1)), owner[order]
+
+
 class Index:
-    """Multi-index over the items' fingerprints, their shingle sets, and a bitmap of shingles."""
+    """Multi-index over some items' fingerprints, with their shingles; weights are those of the whole benchmark."""
 
     def __init__(self, items: Items):
-        self.ids = np.array(items.ids, dtype=np.int64)
-        self.words = [np.frombuffer(w, dtype=np.uint64) for w in items.words]
-        self.length = np.array([len(w) for w in self.words])
+        arrays = _index_arrays(np.array(items.ids, dtype=np.int64), [np.frombuffer(w, dtype=np.uint64) for w in items.words])
+        if items.total:
+            common = [np.array([items.total]), np.frombuffer(items.shared, np.uint64), np.frombuffer(items.times, np.int64)]
+        else:
+            every, n = np.unique(np.concatenate([*(np.unique(shingles(w, min(SHINGLE, len(w)))) for w in np.split(arrays[1], arrays[2][1:-1])), np.zeros(0, np.uint64)]), return_counts=True)
+            common = [np.array([len(items.ids)]), every[n > 1], n[n > 1]]
+        self._open(arrays, common)
+
+    @classmethod
+    def of(cls, arrays: list[np.ndarray], common: list[np.ndarray]) -> Index:
+        out = cls.__new__(cls)
+        out._open(arrays, common)
+        return out
+
+    def _open(self, arrays: list[np.ndarray], common: list[np.ndarray]) -> None:
+        self.ids, self._words, offsets, self.known, bitmap, prints, *tables = arrays
+        self._offsets = offsets
+        self.length = np.diff(offsets)
         self.width = np.minimum(self.length, SHINGLE)
-        self.sets = [np.unique(shingles(w, k)) for w, k in zip(self.words, self.width, strict=True)]
-        every, n = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]), return_counts=True)
+        self.widths = np.unique(self.width[self.width > 0])
+        self.bitmap = np.unpackbits(bitmap, bitorder="little").view(bool)
+        self.prints = prints.reshape(-1, BLOCKS)
+        self.tables = list(zip(tables[::2], tables[1::2], strict=True))
         # a shingle of many items (a template) says less: weight log(1 + items / items with it)
-        total = items.total or len(self.ids)
-        self.known, self.other = every, float(np.log1p(max(total, 1)))
-        self.shared, times = (np.frombuffer(items.shared, np.uint64), np.frombuffer(items.times, np.int64)) if items.total else (every[n > 1], n[n > 1])
-        self.weights = np.log1p(total / times)
-        self.bitmap = np.zeros(1 << 20, dtype=bool)
-        self.bitmap[(every >> np.uint64(44)).astype(np.int64)] = True
-        self.prints = np.concatenate([Prints(w).of(np.array([0]), np.array([len(w)])) for w in self.words]) if self.words else np.zeros((0, BLOCKS), np.uint16)
-        self.tables = [self._table(self.prints[:, b]) for b in range(BLOCKS)]
-
-    def _table(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = (block[:, None] ^ _masks()[None, :]).astype(np.int64)
-        owner = np.repeat(np.arange(len(block), dtype=np.int32), near.shape[1])
-        order = np.argsort(near.ravel(), kind="stable")
-        starts = np.searchsorted(near.ravel()[order], np.arange((1 << BLOCK_BITS) + 1))
-        return starts, owner[order]
+        total = int(common[0][0])
+        self.other, self.shared, self.weights = float(np.log1p(max(total, 1))), common[1], np.log1p(total / common[2])
+
+    def item_set(self, item: int) -> np.ndarray:
+        words = self._words[self._offsets[item] : self._offsets[item + 1]]
+        return np.unique(shingles(words, int(self.width[item])))
 
     def weight(self, s: np.ndarray) -> np.ndarray:
         if not len(self.shared):
@@ -143,8 +176,9 @@ class Index:
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of a window's shingles and the item's."""
         s = np.unique(shingles(window, int(self.width[item])))
-        both = self.weight(np.intersect1d(s, self.sets[item])).sum()
-        union = self.weight(np.union1d(s, self.sets[item])).sum()
+        t = self.item_set(item)
+        both = self.weight(np.intersect1d(s, t)).sum()
+        union = self.weight(np.union1d(s, t)).sum()
         return float(both / union) if union else 0.0
 
     def search(self, words: np.ndarray, threshold: float) -> dict[int, tuple[float, int, int]]:
@@ -152,7 +186,7 @@ class Index:
         found: dict[int, tuple[float, int, int]] = {}
         n = len(words)
         marked = np.zeros(n, dtype=bool)
-        for k in np.unique(self.width[self.width > 0]):
+        for k in self.widths:
             marked[self.hits(shingles(words, int(k)))] = True
         hit = np.flatnonzero(marked)
         if not len(hit):
@@ -183,31 +217,35 @@ class Index:
         return found
 
 
-@functools.lru_cache(maxsize=2)
-def _index(items: Items) -> Index:
-    return Index(items)
+@functools.lru_cache(maxsize=1024)
+def _mapped(path: str, common: str) -> Index:
+    return Index.of(map_arrays(path), map_arrays(common))
 
 
-def _pass(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    """``docs`` (document, __text, hits so far) with the hits of these items added."""
-    names = [c for c in docs.columns if c != "leaks"]
+def _search(docs: DataFrame, folder: str, files: int, threshold: float) -> DataFrame:
+    """``docs`` (document, __text) with the items found in place of the text."""
+    names = [c for c in docs.columns if c != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
         for b in batches:
-            texts, leaks = b.column("__text").to_pylist(), b.column("leaks").to_pylist()
+            texts = b.column("__text").to_pylist()
+            leaks: list[list[dict]] = [[] for _ in texts]
             for lo, hi in by_bytes(texts):
                 w = Words(texts[lo:hi], LOOSE, lower=True)
-                suspect = np.zeros(hi - lo, dtype=bool)
-                for k in np.unique(index.width[index.width > 0]):
-                    at = index.hits(shingles(w.hash, int(k)))
-                    suspect[np.searchsorted(w.offset, at, side="right") - 1] = True
-                for d in np.flatnonzero(suspect):
-                    found = index.search(w.hash[w.offset[d] : w.offset[d + 1]], threshold)
-                    leaks[lo + d] = [*leaks[lo + d], *({"item": int(index.ids[i]), "similarity": s, "start_word": p, "end_word": q} for i, (s, p, q) in sorted(found.items()))]
+                runs: dict[int, np.ndarray] = {}
+                for f in range(files):
+                    index = _mapped(f"{folder}/items-{f}", f"{folder}/shared")
+                    suspect = np.zeros(hi - lo, dtype=bool)
+                    for k in index.widths.tolist():
+                        if k not in runs:
+                            runs[k] = shingles(w.hash, k)
+                        suspect[np.searchsorted(w.offset, index.hits(runs[k]), side="right") - 1] = True
+                    for d in np.flatnonzero(suspect):
+                        found = index.search(w.hash[w.offset[d] : w.offset[d + 1]], threshold)
+                        leaks[lo + d] += [{"item": int(index.ids[i]), "similarity": s, "start_word": p, "end_word": q} for i, (s, p, q) in sorted(found.items())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(leaks, _LEAKS)], names=[*names, "leaks"])
 
-    return docs.mapInArrow(run, StructType([*[docs.schema[c] for c in names], StructField("leaks", docs.schema["leaks"].dataType)]))
+    return docs.mapInArrow(run, StructType([*[docs.schema[c] for c in names], *StructType.fromDDL(f"leaks {_LEAK}").fields]))
 
 
 _LEAK = "array<struct<item:bigint,similarity:double,start_word:bigint,end_word:bigint>>"
@@ -226,24 +264,41 @@ def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     yield pa.RecordBatch.from_arrays([pa.array([None, *np.unique(shingles(h, min(SHINGLE, len(h)))).view(np.int64).tolist()], pa.int64())], names=["shingle"])
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
-    """The benchmark's items, ITEMS_A_PASS of them in memory at a time, with shingle counts of them all; items without words or id are left out, equal ids merge."""
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null and text is not null").groupBy("item", "text").count()
-    passes = max(1, -(-rows.count() // ITEMS_A_PASS))
-    times = rows.select("text").mapInArrow(_item_shingles, "shingle bigint").groupBy("shingle").count().where("count > 1 or shingle is null").collect()
-    total = sum(r["count"] for r in times if r.shingle is None)
-    several = [r for r in times if r.shingle is not None]
-    shared = np.array([r.shingle for r in several], dtype=np.int64).view(np.uint64)
-    order = np.argsort(shared)
-    counts = np.array([r["count"] for r in several], dtype=np.int64)[order].tobytes()
-    for k in range(passes):
-        part: Sequence = rows.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).orderBy("item", "text").collect()
-        w = Words([r.text for r in part], LOOSE, lower=True)
-        hashes = [w.hash[w.offset[i] : w.offset[i + 1]].tobytes() for i in range(len(part))]
-        some = [i for i in range(len(part)) if hashes[i]]
-        if some:
-            words = tuple(hashes[i] for i in some)
-            yield Items(str(hash((k, words))), tuple(part[i].item for i in some), words, total, shared[order].tobytes(), counts)
+def write_index(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[str, int]:
+    """The folder and number of index files of the benchmark; items without words or id are left out, equal rows merge."""
+    spark = benchmark.sparkSession
+    folder = qualified(spark, fresh_path(spark, "items"))
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null and text is not null").distinct()
+    rows = materialise(rows, "benchmark")
+    files = max(1, -(-rows.count() // ITEMS_A_PASS))
+    times = materialise(rows.select("text").mapInArrow(_item_shingles, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 or shingle is null"), "shared")
+    total = times.where("shingle is null").agg(F.sum("n")).first()[0] or 0
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        table = pa.Table.from_batches(parts) if parts else pa.table({"shingle": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        s, n = table["shingle"].to_numpy().view(np.uint64), table["n"].to_numpy()
+        order = np.argsort(s)
+        write_arrays(f"{folder}/shared", [np.array([total]), s[order], n[order].astype(np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array([len(s)], pa.int64())], names=["n"])
+
+    # shingles of several items: one row each, a small part of the benchmark
+    times.where("shingle is not null").repartition(1).mapInArrow(shared, "n bigint").collect()
+
+    def build(table: pa.Table) -> pa.Table:
+        file = table["file"][0].as_py()
+        part = sorted((i, t) for i, t in zip(table["item"].to_pylist(), table["text"].to_pylist(), strict=True) if i is not None)
+        w = Words([t for _, t in part], LOOSE, lower=True)
+        words = [w.hash[lo:hi] for lo, hi in zip(w.offset[:-1], w.offset[1:], strict=True)]
+        some = [k for k, x in enumerate(words) if len(x)]
+        write_arrays(f"{folder}/items-{file}", _index_arrays(np.array([part[k][0] for k in some], dtype=np.int64), [words[k] for k in some]))
+        return pa.table({"file": pa.array([file], pa.int64())})
+
+    # every file has a row of its own, so that none is missing
+    dealt = rows.select(F.pmod(F.xxhash64("item"), F.lit(files)).cast("bigint").alias("file"), "item", "text")
+    dealt = dealt.unionByName(spark.range(files).select(F.col("id").alias("file"), F.lit(None).cast("bigint").alias("item"), F.lit(None).cast("string").alias("text")))
+    dealt.groupBy("file").applyInArrow(build, "file bigint").collect()
+    return folder, files
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, item_col: str = "item_id", item_text_col: str = "text", text_col: str = "text") -> DataFrame:
@@ -258,7 +313,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
     either side give no leaks.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col(f"`{text_col}`").alias("__text"), F.from_json(F.lit("[]"), _LEAK).alias("leaks"))
-    for items in item_blocks(benchmark, item_col, item_text_col):
-        rows = _pass(rows, items, threshold)
-    return rows.drop("__text")
+    folder, files = write_index(benchmark, item_col, item_text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col(f"`{text_col}`").alias("__text"))
+    return _search(rows, folder, files, threshold)
