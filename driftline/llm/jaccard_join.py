@@ -555,8 +555,8 @@ def _rooted(df: DataFrame, links: DataFrame | None) -> DataFrame:
     return df.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def link_nodes(rows: DataFrame, told: DataFrame, node_of) -> tuple[DataFrame, DataFrame] | None:
-    """(node, root) of all nodes that link with others, and (node, links): how many documents of other sets each of these links with; None if none do.
+def link_nodes(rows: DataFrame, told: DataFrame, node_of, count: bool = True) -> tuple[DataFrame, DataFrame | None] | None:
+    """(node, root) of all nodes that link with others, and (node, links): how many documents of other sets each of these links with (None without ``count``); None if none link.
 
     ``told`` has node, id, digest, more, n, sketch and copies (documents of that
     set); ``node_of`` adds the node to rows with digest and more.
@@ -600,6 +600,8 @@ def link_nodes(rows: DataFrame, told: DataFrame, node_of) -> tuple[DataFrame, Da
 
     # all links lie within classes, and every linked node's set is known
     roots = materialise(components(joiner.links), "roots")
+    if not count:
+        return roots, None
     member = materialise(roots.join(told.select("node", "n", "copies"), "node"), "linked")
     parts = member.groupBy("root").agg(F.greatest(_parts(F.count("*")), F.ceil(F.sum("n") / SQUARE_SHINGLES).cast("int")).alias("parts"))
     square = _squares(member.join(parts, "root").select(F.col("root").alias("cell"), "parts", "node", "n", "copies"))
@@ -607,7 +609,7 @@ def link_nodes(rows: DataFrame, told: DataFrame, node_of) -> tuple[DataFrame, Da
     return roots, materialise(counted.groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
     """Every row with n_shingles, component_id, the least id reachable by links, and n_links, how many other documents it links with.
 
     Texts link at a Jaccard similarity of 0.75 or more of their distinct 5-word
@@ -616,6 +618,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. Rows without an id count no one, are counted by no one and get no class.
     Rows that share an id are one document if their texts are equal, and else link as
     their texts do, each with links of its own. An empty table gives an empty result.
+    Without ``count``, links are only followed, and n_links is null.
     """
     small_batches(docs.sparkSession)
     rows = columns_as(docs, id=id_col, text=text_col)
@@ -637,15 +640,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return df.join(again.withColumn("named", F.lit(True)), "digest", "left").withColumn("node", F.when(F.col("named"), F.xxhash64("digest", "more")).otherwise(F.col("digest"))).drop("named")
 
     told = node_of(told)
-    linked = link_nodes(rows, told, node_of)
+    linked = link_nodes(rows, told, node_of, count)
     nodes = told.select("node", "id", "digest", "more", "copies")
     if linked is None:
         nodes = nodes.withColumn("root", F.col("node")).withColumn("links", F.lit(0))
     else:
-        nodes = nodes.join(linked[0], "node", "left").join(linked[1], "node", "left").withColumn("root", F.coalesce("root", "node"))
+        nodes = nodes.join(linked[0], "node", "left").withColumn("root", F.coalesce("root", "node"))
+        nodes = nodes.join(linked[1], "node", "left") if count else nodes.withColumn("links", F.lit(None).cast("bigint"))
     nodes = materialise(nodes, "classes")
     least = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
-    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    n_links = ((F.coalesce("links", F.lit(0)) if count else F.lit(None).cast("bigint")) + F.col("copies") - 1).alias("n_links")
     classes = materialise(nodes.join(least, "root").select("digest", "more", "component_id", n_links), "classes")
     out = described.select("id", "n", "digest", "more").join(classes, ["digest", "more"], "left")
     own = (F.col("n") == 0) | F.col("component_id").isNull() | F.col("id").isNull()
@@ -658,7 +662,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without an id, and texts without words, stay. Rows that share an id are one
     document: one of them stays, and none if a text of theirs links to a lesser id.
     """
-    classes = materialise(jaccard_classes(docs, id_col, text_col), "classes")
+    classes = materialise(jaccard_classes(docs, id_col, text_col, count=False), "classes")
     dropped = classes.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
     kept = docs.join(materialise(dropped, "dropped"), id_col, "left_anti").select(*docs.columns)
     again = materialise(classes.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "again")

@@ -26,8 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders given out by ``fresh_path`` in this process and not dropped, in order.
+_given: dict[str, None] = {}
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/driftline/{uuid.uuid4().hex}/{tag}"
+    folder = f"{shared_dir(spark)}/driftline/{uuid.uuid4().hex}"
+    _given[folder] = None
+    return f"{folder}/{tag}"
+
+
+def given() -> list[str]:
+    """Folders of intermediate tables and files that are still there."""
+    return list(_given)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _given.pop(folder, None)
+
+
+def roots_of(df: DataFrame) -> list[str]:
+    """Paths of the tables that a frame reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            found += [paths.apply(k).toString() for k in range(paths.size())]
+    return found
 
 
 def few_files(df: DataFrame) -> DataFrame:
@@ -52,8 +81,7 @@ def materialise(df: DataFrame, tag: str, wide: bool = False) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing will read again: what was made from them has been written too."""
     for df in tables:
-        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._driftline_path.rpartition("/")[0])
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, df._driftline_path.rpartition("/")[0])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
