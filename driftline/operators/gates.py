@@ -47,8 +47,8 @@ def link_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where("in_a is null or in_b is null").select(*keys, F.when(F.col("in_a"), "a").otherwise("b").alias("only_in"))
 
 
-def recovery_candidates(obs: DataFrame, others: DataFrame) -> DataFrame:
-    """For every gap frame of a track the nearest of ``others`` (frame, label, x_px, y_px, area_px) that could be it: track_id, frame, label, offset_px.
+def _plausible(obs: DataFrame, others: DataFrame, *columns: str) -> DataFrame:
+    """Every gap frame of a track with every one of ``others`` that could be it: track_id, frame, label, offset_px and the named columns.
 
     It must lie within 1.5 times the expected body's length (30 px at least) of the
     expected place, at a quarter to four times its size. Candidates meet expectations
@@ -59,13 +59,36 @@ def recovery_candidates(obs: DataFrame, others: DataFrame) -> DataFrame:
     size = OFFSET_FACTOR * LEAST_BODY_PX
     span = lambda c: F.sequence(F.floor((F.col(c) - F.col("reach")) / size), F.floor((F.col(c) + F.col("reach")) / size))
     want = want.withColumn("gx", F.explode(span("ex"))).withColumn("gy", F.explode(span("ey")))
-    have = others.select("frame", "label", F.col("x_px").alias("ox"), F.col("y_px").alias("oy"), F.col("area_px").alias("oa")).withColumns({"gx": F.floor(F.col("ox") / size), "gy": F.floor(F.col("oy") / size)})
+    have = others.select("frame", "label", F.col("x_px").alias("ox"), F.col("y_px").alias("oy"), F.col("area_px").alias("oa"), *columns).withColumns({"gx": F.floor(F.col("ox") / size), "gy": F.floor(F.col("oy") / size)})
     both = want.join(have, ["frame", "gx", "gy"]).withColumn("offset_px", norm(F.col("ox") - F.col("ex"), F.col("oy") - F.col("ey")))
     fits = (F.col("offset_px") <= F.col("reach")) & F.col("oa").between(AREA_RATIO[0] * F.col("ea"), AREA_RATIO[1] * F.col("ea"))
-    best = both.where(fits).groupBy("track_id", "frame").agg(F.min(F.struct("offset_px", "label")).alias("b"))
+    return both.where(fits).select("track_id", "frame", "label", "offset_px", *columns)
+
+
+def recovery_candidates(obs: DataFrame, others: DataFrame) -> DataFrame:
+    """For every gap frame of a track the nearest of ``others`` (frame, label, x_px, y_px, area_px) that could be it: track_id, frame, label, offset_px."""
+    best = _plausible(obs, others).groupBy("track_id", "frame").agg(F.min(F.struct("offset_px", "label")).alias("b"))
     return best.select("track_id", "frame", F.col("b.label").alias("label"), F.col("b.offset_px").alias("offset_px"))
 
 
+def recovery_attempts(obs: DataFrame, others: DataFrame, tiers: tuple[str, ...] = ("window", "permissive", "intensity")) -> DataFrame:
+    """One row for every gap frame of a track: track_id, frame, recovered, found_by, label, offset_px, detail.
+
+    ``others`` (with source) are tried tier by tier: the first tier with anything
+    plausible decides, by the nearest. A detection serves one track only, the one
+    whose tier and offset are least; the others' attempts fail.
+    """
+    tier = F.array_position(F.array(*map(F.lit, tiers)), F.col("source")).cast("int")
+    some = _plausible(obs, others.where(F.col("source").isin(*tiers)), "source").withColumn("tier", tier)
+    best = some.groupBy("track_id", "frame").agg(F.min(F.struct("tier", "offset_px", "label")).alias("b")).select("track_id", "frame", "b.*")
+    first = best.groupBy("frame", "label").agg(F.min(F.struct("tier", "offset_px", "track_id")).alias("w")).select("frame", "label", F.col("w.track_id").alias("winner"))
+    tried = expected_positions(obs).select("track_id", "frame").join(best.join(first, ["frame", "label"]), ["track_id", "frame"], "left")
+    won = F.coalesce(F.col("winner") == F.col("track_id"), F.lit(False))
+    detail = F.when(F.col("label").isNull(), "nothing plausible").when(won, "").otherwise("taken by another track")
+    found_by = F.when(won, F.element_at(F.array(*map(F.lit, tiers)), F.col("tier")))
+    return tried.select("track_id", "frame", won.alias("recovered"), found_by.alias("found_by"), F.when(won, F.col("label")).alias("label"), F.when(won, F.col("offset_px")).alias("offset_px"), detail.alias("detail"))
+
+
 def tube_rates(obs: DataFrame, scale: Scale) -> DataFrame:
     """Rates along a trajectory in space and time: velocity and, over the *current* step's time, acceleration; size rate and its change; minutes from the start."""
     w = by_track()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality, regions, summary
+from ..operators import gates, quality, regions, summary
 from .catalog import SCALE, WITH_KIN, WITH_OBS, obs, pairs, query, rounded
 from .catalog_links import PIXEL_SQL, pixels
 
@@ -74,3 +74,15 @@ def qc_border_flags(spark, sf_dir):
 @query(f"{WITH_OBS}, l AS (SELECT track_id, frame, (abs(x_c) % 50) / 10.0::DOUBLE AS margin, lag(frame) OVER (PARTITION BY track_id ORDER BY frame) AS before FROM obs) " + _finding_sql("link_ambiguous", "'Track ' || track_id || '''s link into frame ' || frame || ' is ambiguous'", "l WHERE before IS NOT NULL AND margin < 2.0"))
 def qc_link_ambiguous(spark, sf_dir):
     return quality.link_ambiguous(quality.links(obs(spark, sf_dir).withColumn("link_margin", (F.abs("x_c") % 50) / F.lit(10.0))))
+
+
+@query(f"""{WITH_OBS}, p AS (SELECT * FROM obs WHERE source = 'primary'), n AS (SELECT *, lead(frame) OVER w AS nf, lead(x_px) OVER w AS nx, lead(y_px) OVER w AS ny, lead(area_px) OVER w AS na FROM p WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
+e AS (SELECT track_id, CAST(g AS INTEGER) AS frame, x_px + (nx - x_px) * (CAST(g - frame AS DOUBLE) / (nf - frame)) AS ex, y_px + (ny - y_px) * (CAST(g - frame AS DOUBLE) / (nf - frame)) AS ey, 0.5::DOUBLE * (area_px + na) AS ea FROM (SELECT *, unnest(generate_series(frame + 1, nf - 1)) AS g FROM n WHERE nf > frame + 1)),
+c AS (SELECT e.track_id, e.frame, o.det_label AS label, CASE o.source WHEN 'window' THEN 1 ELSE 2 END AS tier, o.area_px AS oa, ea, sqrt((o.x_px - ex) * (o.x_px - ex) + (o.y_px - ey) * (o.y_px - ey)) AS offset_px FROM e JOIN obs o ON o.frame = e.frame AND o.source <> 'primary'),
+k AS (SELECT *, row_number() OVER (PARTITION BY track_id, frame ORDER BY tier, offset_px, label) AS k FROM c WHERE offset_px <= 1.5::DOUBLE * greatest(sqrt(4 * ea), 30.0::DOUBLE) AND oa BETWEEN 0.25::DOUBLE * ea AND 4.0::DOUBLE * ea),
+b AS (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY tier, offset_px, track_id) = 1 AS won FROM k WHERE k = 1)
+SELECT e.track_id, e.frame, coalesce(won, false) AS recovered, CASE WHEN won THEN CASE tier WHEN 1 THEN 'window' ELSE 'permissive' END END AS found_by, CASE WHEN won THEN label END AS label, CASE WHEN won THEN round(offset_px, 6) END AS offset_px, CASE WHEN label IS NULL THEN 'nothing plausible' WHEN won THEN '' ELSE 'taken by another track' END AS detail
+FROM e LEFT JOIN b ON b.track_id = e.track_id AND b.frame = e.frame""")
+def recovery_attempts(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    return rounded(gates.recovery_attempts(o.where("source = 'primary'"), o.where("source <> 'primary'").withColumnRenamed("det_label", "label")))

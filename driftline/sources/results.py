@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.legacy import upgrade_tracks, upgrade_unlinked
+from ..schema import Scale
 
 # The tables of a run, their columns and which are not numbers.
 WHOLE = {"frame", "source_frame", "label", "channel", "extent_px", "track_id", "det_label", "observation_index", "n_observations", "gap_frames", "lag_frames", "n_pairs", "n_gaps", "total_missing_frames", "span_frames", "first_frame", "last_frame", "raw_instances", "kept_instances", "removed_instances", "detections", "candidate_tracks", "matched", "new_tracks", "dormant", "terminated", "starts_at_frame", "nearest_earlier_track", "that_track_ended_at_frame", "first_pass_track_id", "bbox_min_x", "bbox_min_y", "bbox_min_z", "bbox_max_x", "bbox_max_y", "bbox_max_z"}
@@ -78,8 +79,20 @@ class SavedRun:
     def track_ids(self) -> DataFrame:
         return self.table("tracks").select("track_id").distinct().orderBy("track_id")
 
+    def scale(self) -> Scale:
+        """The calibration that the manifest tells."""
+        told = self.manifest.get("calibration") or {}
+        pixel = told.get("pixel_size_um") if told.get("spatially_calibrated") is not False else None
+        interval = told.get("frame_interval_min") if told.get("temporally_calibrated") is not False else None
+        return Scale.of(pixel, interval, told.get("z_step_um"))
+
     def msd(self, track_id: int) -> DataFrame:
-        return self.track(track_id, "track_msd").orderBy("lag_frames")
+        """Displacements of a track; made from its rows where the run was saved without them."""
+        if _exists(self.spark, f"{self.folder}/track_msd.csv"):
+            return self.track(track_id, "track_msd").orderBy("lag_frames")
+        from ..sinks.bundles import displacements
+
+        return displacements(self.track(track_id), self.scale())
 
 
 def is_complete(spark: SparkSession, folder: str) -> bool:

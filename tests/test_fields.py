@@ -132,3 +132,10 @@ def test_folders_and_bundles(spark, tmp_path):
     verdicts = spark.createDataFrame([(1, 0, ["a", "b"], "CONFIRMED", 0.5)], "object_id int, t int, reasons array<string>, state string, wall double")
     bundles.export_verdicts(verdicts, str(tmp_path / "v.csv"))
     assert [c for c in results.read_table(spark, str(tmp_path / "v.csv")).columns if not c.endswith("_text")] == ["object_id", "t", "z", "state", "reasons", "wall"]
+
+
+def test_displacements_of_a_run_saved_without_them(spark, tmp_path):
+    rows = spark.createDataFrame([(1, f, 3.0 * f, 0.0) for f in (0, 1, 2, 4)], "track_id int, frame int, x_px double, y_px double")
+    tables.save_run(spark, str(tmp_path / "r"), {"tracks": rows}, {"calibration": {"pixel_size_um": 0.5, "frame_interval_min": 10}})
+    got = results.load_run(spark, str(tmp_path / "r")).msd(1).collect()
+    assert {(r.lag_frames, r.n_pairs, r.msd_um2) for r in got} == {(1, 2, 2.25), (2, 2, 9.0), (3, 1, 20.25), (4, 1, 36.0)}
