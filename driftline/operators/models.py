@@ -7,6 +7,7 @@ reach the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -124,14 +125,29 @@ def logistic(rows: DataFrame, features: list[str], y: str, penalty: float = 1.0,
     return Linear(f, tuple(beta[:-1].tolist()), float(beta[-1]))
 
 
-def leave_one_group_out(rows: DataFrame, group: str, features: list[str], y: str, solve=solve_ridge) -> DataFrame:
+#: Groups that a fit of the caller's own is repeated for at most: each is a plan of its own.
+MOST_GROUPS = 100
+
+
+def leave_one_group_out(rows: DataFrame, group: str, features: list[str], y: str, fit=None, solve=solve_ridge) -> DataFrame:
     """``rows`` with pred, each from a model fitted on all other groups.
 
     A group's sums are one row; those of all others are the total less its own, so
     one aggregation of the rows serves every fold, each fold is solved where its sums
     lie, and nothing grows with the number of groups but rows. A group without others
     has no prediction; rows without a target are predicted and not learned from.
+    Models that sums don't decide come as ``fit(rows, features, y)``, which is repeated
+    for each group, of which there may be MOST_GROUPS.
     """
+    if fit is not None:
+        names = rows.select(group).distinct().orderBy(group).limit(MOST_GROUPS + 1).collect()
+        if len(names) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups of {group}")
+        parts = []
+        for (name,) in names:
+            held = F.col(group).eqNullSafe(F.lit(name))
+            parts.append(rows.where(held).withColumn("pred", fit(rows.where(~held), features, y).column()))
+        return reduce(lambda a, b: a.unionByName(b), parts) if parts else rows.withColumn("pred", F.lit(None).cast("double"))
     f = tuple(features)
     n = len(f) + 1
     sums = rows.where(F.col(y).isNotNull()).groupBy(F.col(group).alias("__group")).agg(F.array(*[F.coalesce(c, F.lit(0.0)) for c in _products(f, y)]).alias("sums"))
