@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .audit import chance
+
 
 #: Groups that leave-one-group-out repeats all rows for at most; also what bounds its broadcast.
 MOST_GROUPS = 1000
@@ -50,6 +52,16 @@ def classification_scores(rows: DataFrame, *by: str) -> DataFrame:
     return sums.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
 
 
+def poisson_steps() -> list[float]:
+    """Where the distribution of a Poisson(1) number steps up, from 0 on; beyond 13 a draw of 32 bits has a chance below one of its steps."""
+    total, term, out = 0.0, math.exp(-1), []
+    for k in range(1, 14):
+        total += term
+        out.append(total)
+        term /= k
+    return out
+
+
 def track_bootstrap(rows: DataFrame, n_boot: int = 200, seed: int = 0, level: float = 0.95, unit: str = "track_id", value: str = "value") -> DataFrame:
     """Interval of the mean when whole units are resampled: estimate, ci_low, ci_high, n_units.
 
@@ -58,13 +70,10 @@ def track_bootstrap(rows: DataFrame, n_boot: int = 200, seed: int = 0, level: fl
     """
     per = rows.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     draws = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", unit), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    # u has 30 bits: beyond 13 a draw has a chance below one of its steps
-    steps, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 14):
-        total += term
+    u = chance(F.lit(seed), F.col("replicate"), F.col(unit))
+    steps = F.lit(0)
+    for total in poisson_steps():
         steps = steps + (F.col("u") >= total).cast("int")
-        term /= k
     means = draws.withColumn("u", u).withColumn("times", steps).groupBy("replicate").agg((F.sum(F.col("s") * F.col("times")) / F.nullif(F.sum(F.col("n") * F.col("times")), F.lit(0))).alias("mean"))
     ends = means.agg(F.percentile("mean", F.lit((1 - level) / 2)).alias("ci_low"), F.percentile("mean", F.lit((1 + level) / 2)).alias("ci_high"))
     return per.agg((F.sum("s") / F.sum("n")).alias("estimate"), F.count("*").alias("n_units")).crossJoin(F.broadcast(ends))

@@ -63,6 +63,9 @@ def track_layer(spark, sf_dir):
     return audit.track_layer(obs(spark, sf_dir))
 
 
-@query()
+@query(f"""{WITH_OBS.replace('WITH', 'WITH RECURSIVE', 1)}, l AS (SELECT track_id, list(frame ORDER BY x_px DESC, frame) AS frames FROM obs GROUP BY track_id),
+k(track_id, i, kept) AS (SELECT track_id, 0, []::INTEGER[] FROM l UNION ALL SELECT l.track_id, i + 1, CASE WHEN len(list_filter(kept, lambda f: abs(f - frames[i + 1]) < 24)) = 0 THEN list_append(kept, frames[i + 1]) ELSE kept END FROM k JOIN l ON l.track_id = k.track_id AND i < len(frames)),
+u AS (SELECT k.track_id, unnest(kept) AS frame FROM k JOIN l ON l.track_id = k.track_id AND i = len(frames))
+SELECT track_id, frame, x_px FROM u JOIN obs USING (track_id, frame)""")
 def score_peaks(spark, sf_dir):
     return audit.peaks(obs(spark, sf_dir).select("track_id", "frame", "x_px"), "track_id", "frame", "x_px", 24.0)

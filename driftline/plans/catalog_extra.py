@@ -8,7 +8,7 @@ from ..functions import stats
 from ..operators import gates, imaging, inference, lanes, models
 from ..operators.similarity import top_by
 from .catalog import SCALE, SETTINGS, WITH_OBS, obs, query, r, rounded
-from .catalog_more import LANE_SQL, LANES, scored_docs, table
+from .catalog_more import LABELLED, LANE_SQL, LANES, scored_docs, table
 
 
 @query(f"{WITH_OBS}, s AS (SELECT track_id, frame, frame - lag(frame) OVER w AS dt, sqrt((x_px - lag(x_px) OVER w) * (x_px - lag(x_px) OVER w) + (y_px - lag(y_px) OVER w) * (y_px - lag(y_px) OVER w)) AS st, area_px, lag(area_px) OVER w AS a0, {LANE_SQL} AS l1, lag({LANE_SQL}) OVER w AS l0 FROM obs WINDOW w AS (PARTITION BY track_id ORDER BY frame)) SELECT track_id, frame, dt, CASE WHEN dt < 1 OR dt > 4 THEN 'gap_too_long' WHEN l0 >= 0 AND l1 >= 0 AND l0 <> l1 THEN 'lane' WHEN st * 0.5 / (dt * 60.0) > 5.0 THEN 'speed' WHEN area_px / greatest(a0, 1.0) < 0.3 OR area_px / greatest(a0, 1.0) > 3.0 THEN 'size' END AS refused_because FROM s WHERE dt IS NOT NULL")
@@ -41,12 +41,18 @@ def tube_rates(spark, sf_dir):
     return t.select("track_id", "frame", "elapsed_min", *[F.round(F.col(c) + 1.7320508e-10, 8).alias(c) for c in eight], *[F.round(F.col(c) + 1.7320508e-12, 10).alias(c) for c in ten])
 
 
-@query()
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority AS fold, sum(l_quantity)::DOUBLE AS quantity, count(*)::DOUBLE AS lines, any_value(o_totalprice)::DOUBLE AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority),
+g AS (SELECT fold, count(*)::DOUBLE AS n, sum(quantity) AS q, sum(lines) AS l, sum(y) AS y, sum(quantity * quantity) AS qq, sum(lines * lines) AS ll, sum(quantity * lines) AS ql, sum(quantity * y) AS qy, sum(lines * y) AS ly FROM r GROUP BY fold),
+t AS (SELECT fold, t.n - g.n AS n, t.q - g.q AS q, t.l - g.l AS l, t.y - g.y AS y, t.qq - g.qq AS qq, t.ll - g.ll AS ll, t.ql - g.ql AS ql, t.qy - g.qy AS qy, t.ly - g.ly AS ly FROM g, (SELECT sum(n) AS n, sum(q) AS q, sum(l) AS l, sum(y) AS y, sum(qq) AS qq, sum(ll) AS ll, sum(ql) AS ql, sum(qy) AS qy, sum(ly) AS ly FROM g) t),
+m AS (SELECT fold, n, q / n AS mq, l / n AS ml, y / n AS my, sqrt(qq / n - (q / n) * (q / n)) AS sq, sqrt(ll / n - (l / n) * (l / n)) AS sl, ql / n - (q / n) * (l / n) AS cql, qy / n - (q / n) * (y / n) AS cqy, ly / n - (l / n) * (y / n) AS cly FROM t),
+w AS (SELECT *, 1 + 1 / n AS a, cql / (sq * sl) AS c, cqy / sq AS b1, cly / sl AS b2 FROM m),
+s AS (SELECT *, (a * b1 - c * b2) / (a * a - c * c) / sq AS wq, (a * b2 - c * b1) / (a * a - c * c) / sl AS wl FROM w)
+SELECT o_orderkey, r.fold, quantity, lines, r.y, round(wq * quantity + wl * lines + my - mq * wq - ml * wl, 2) AS pred FROM r JOIN s ON s.fold = r.fold""")
 def ridge_predictions(spark, sf_dir):
     """Prices of orders predicted for each priority from all others."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("double").alias("quantity"), F.count("*").alias("lines")), "o_orderkey")
     rows = o.select("o_orderkey", F.col("o_orderpriority").alias("fold"), "quantity", F.col("lines").cast("double").alias("lines"), F.col("o_totalprice").cast("double").alias("y"))
-    return models.leave_one_group_out(rows, "fold", ["quantity", "lines"], "y")
+    return models.leave_one_group_out(rows, "fold", ["quantity", "lines"], "y").withColumn("pred", F.round("pred", 2))
 
 
 @query("SELECT round(regr_slope(p, q), 4) AS weight, round(regr_intercept(p, q), 2) AS intercept FROM (SELECT sum(l_quantity)::DOUBLE AS q, any_value(o_totalprice)::DOUBLE AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)")
@@ -57,15 +63,29 @@ def least_squares(spark, sf_dir):
     return spark.createDataFrame([(round(m.weights[0], 4), round(m.intercept, 2))], "weight double, intercept double")
 
 
-@query()
+def _newton(steps: int = 8) -> str:
+    """Newton's steps of a logistic model of one feature, each from the sums at the one before."""
+    out = ["p0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for k in range(steps):
+        sums = f"SELECT any_value(b) AS b, any_value(c) AS c, sum(p * (1 - p) * size * size) + 1 + 1e-9 AS h11, sum(p * (1 - p) * size) AS h12, sum(p * (1 - p)) + 1e-9 AS h22, sum((y - p) * size) - any_value(b) AS g1, sum(y - p) AS g2 FROM (SELECT *, 1 / (1 + exp(-(b * size + c))) AS p FROM x, p{k})"
+        out.append(f"p{k + 1} AS (SELECT b + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS b, c + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS c FROM ({sums}))")
+    return ", ".join(out)
+
+
+@query(f"WITH {LABELLED}, x AS (SELECT doc_id, ln(1 + n_chars) AS size, (quality = 1)::INT::DOUBLE AS y FROM d), {_newton()} SELECT doc_id, round(size, 9) AS size, y, round(1 / (1 + exp(-(b * size + c))), 6) AS p FROM x, p8")
 def logistic_probabilities(spark, sf_dir):
     rows = scored_docs(spark, sf_dir).select("doc_id", F.log1p("n_chars").alias("size"), F.col("truth").cast("double").alias("y"))
-    return rows.withColumn("p", models.logistic(rows, ["size"], "y").probability())
+    return rows.withColumn("p", F.round(models.logistic(rows, ["size"], "y").probability(), 6)).withColumn("size", F.round("size", 9))
 
 
-@query()
+_TIMES = " + ".join(f"(u >= {t!r})::INT" for t in inference.poisson_steps())
+
+
+@query(f"""{WITH_OBS}, per AS (SELECT track_id, sum(x_px) AS s, count(x_px) AS n FROM obs GROUP BY track_id), d AS (SELECT *, CAST('0x' || md5('0:' || k || ':' || track_id)[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u FROM per, (SELECT unnest(generate_series(0, 199)) AS k)),
+m AS (SELECT k, sum(s * ({_TIMES})) / nullif(sum(n * ({_TIMES})), 0) AS mean FROM d GROUP BY k)
+SELECT round(estimate, 6) AS estimate, n_units, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM (SELECT sum(s) / sum(n) AS estimate, count(*) AS n_units FROM per), (SELECT quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM m)""")
 def bootstrap_interval(spark, sf_dir):
-    return inference.track_bootstrap(obs(spark, sf_dir).select("track_id", F.col("x_px").alias("value")))
+    return rounded(inference.track_bootstrap(obs(spark, sf_dir).select("track_id", F.col("x_px").alias("value"))))
 
 
 @query()
@@ -80,7 +100,9 @@ def top_sources(spark, sf_dir):
     return top_by(rows, "one", [F.desc("n"), F.col("source")], 8).select("source", "place", "n")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT source AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS i FROM documents GROUP BY source),
+f(i, g, fold, loads) AS (SELECT 0::BIGINT, NULL::VARCHAR, NULL::INT, [0, 0, 0, 0]::BIGINT[] UNION ALL SELECT s.i, s.g, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + s.n ELSE x END) FROM f JOIN s ON s.i = f.i + 1)
+SELECT g AS "group", CAST(fold AS INTEGER) AS fold FROM f WHERE i > 0""")
 def group_folds(spark, sf_dir):
     sizes = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("group")).agg(F.count("*").alias("n"))
     return inference.group_folds(sizes, 4)
