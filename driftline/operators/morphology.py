@@ -84,7 +84,8 @@ def texture(pixels: DataFrame, levels: int = GREY_LEVELS) -> DataFrame:
     where these are equal. A pair counts both ways. Objects of one pixel have none.
     """
     ends = pixels.groupBy(*OBJECT).agg(F.percentile("value", F.lit(0.01)).alias("lo"), F.percentile("value", F.lit(0.99)).alias("hi"))
-    step = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * levels)
+    # to nine places: the last bits of a percentile must not decide
+    step = F.floor(F.round((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * levels, 9))
     level = F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(0), F.least(F.lit(levels - 1), step))).otherwise(0).cast("int")
     own = pixels.join(ends, list(OBJECT)).select(*OBJECT, "y", "x", level.alias("g"))
     steps = F.array(*[F.struct(F.lit(k).alias("way"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, (dy, dx) in enumerate(((0, 1), (1, 0), (1, 1), (1, -1)))])

@@ -77,7 +77,7 @@ def object_outline(spark, sf_dir):
 
 
 @query(f"""{WITH_OBS}, {PIXEL_SQL}, e AS (SELECT frame, label, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM px GROUP BY frame, label),
-g AS (SELECT frame, label, y, x, CASE WHEN hi > lo THEN CAST(greatest(0, least(15, floor((value - lo) / (hi - lo) * 16))) AS INTEGER) ELSE 0 END AS g FROM px JOIN e USING (frame, label)),
+g AS (SELECT frame, label, y, x, CASE WHEN hi > lo THEN CAST(greatest(0, least(15, floor(round((value - lo) / (hi - lo) * 16, 9)))) AS INTEGER) ELSE 0 END AS g FROM px JOIN e USING (frame, label)),
 s AS (SELECT frame, label, y, x, g, unnest([0, 1, 2, 3]) AS way, unnest([0, 1, 1, 1]) AS dy, unnest([1, 0, 1, -1]) AS dx FROM g),
 o AS (SELECT s.frame, s.label, way, s.g AS a, q.g AS b FROM s JOIN g q ON q.frame = s.frame AND q.label = s.label AND q.y = s.y + dy AND q.x = s.x + dx),
 n AS (SELECT frame, label, way, a, b, count(*)::DOUBLE AS n FROM (SELECT * FROM o UNION ALL SELECT frame, label, way, b, a FROM o) GROUP BY ALL),
