@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import Scale, positive
+
 
 def first_positive(candidates: Sequence[tuple[str, Column]]) -> Column:
     """A struct (value, source) of the first candidate that is a positive, finite number; null values if none is."""
@@ -25,3 +27,12 @@ def pixel_size(override: Column, file: Column, document: Column, tag: Column) ->
 def frame_interval(override: Column, measured: Column, header: Column, document: Column, nominal: Column) -> Column:
     """A user's own value, then the measured mean, the header's, the document's and the nominal one."""
     return first_positive([("user", override), ("measured", measured), ("header", header), ("document", document), ("nominal", nominal)])
+
+
+def resolved(user: dict, file: dict) -> tuple[Scale, dict[str, str]]:
+    """A run's scale (pixel_um, interval_min, z_um) and where each value comes from: the user's own, if it is a positive number, else the file's, else none."""
+    values, origin = {}, {}
+    for name in ("pixel_um", "interval_min", "z_um"):
+        told = next(((v, k) for k, v in (("user", user.get(name)), ("file", file.get(name))) if positive(v)), (None, "none"))
+        values[name], origin[name] = told
+    return Scale.of(**values), origin

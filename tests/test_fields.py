@@ -139,3 +139,23 @@ def test_displacements_of_a_run_saved_without_them(spark, tmp_path):
     tables.save_run(spark, str(tmp_path / "r"), {"tracks": rows}, {"calibration": {"pixel_size_um": 0.5, "frame_interval_min": 10}})
     got = results.load_run(spark, str(tmp_path / "r")).msd(1).collect()
     assert {(r.lag_frames, r.n_pairs, r.msd_um2) for r in got} == {(1, 2, 2.25), (2, 2, 9.0), (3, 1, 20.25), (4, 1, 36.0)}
+
+
+def test_bracket_reasons_in_their_order(spark):
+    from pyspark.sql import functions as F
+
+    from driftline.operators.brackets import brackets
+
+    rows = [("a", t, t in (1, 3, 9), True, t != 2) for t in range(1, 10)] + [("b", 2, False, None, True)]
+    got = brackets(spark.createDataFrame(rows, "s string, t int, l boolean, o boolean, e boolean"), "s", "t", F.col("l"), 4, F.col("o"), F.col("e"))
+    why = {(r.s, r.t): r.why for r in got.collect()}
+    assert why["b", 2] == "no true time order" and why["a", 1] == "first labelled time" and why["a", 9] == "last labelled time"
+    assert why["a", 2] == "nothing to test" and why["a", 5] == "bracket too long" and why["a", 3] == "bracket too long"
+
+
+def test_resolved_scale():
+    from driftline.functions.calibration import resolved
+
+    scale, origin = resolved({"pixel_um": -1.0, "interval_min": 5.0}, {"pixel_um": 0.5, "interval_min": 10.0, "z_um": float("nan")})
+    assert (scale.pixel_um, scale.interval_min, scale.z_um) == (0.5, 5.0, None)
+    assert origin == {"pixel_um": "file", "interval_min": "user", "z_um": "none"}
