@@ -44,7 +44,7 @@ def _cut(spark, checkpoint=None):
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="driftline-"))
     return lambda df: df.checkpoint()
