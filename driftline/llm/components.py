@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .workspace import materialise
@@ -21,8 +21,9 @@ def components(links: DataFrame) -> DataFrame:
         around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
-        after = materialise(jump.select("node", "old", F.least("root", "next").alias("root")), "labels")
-        changed = after.where("old <> root").limit(1).count()
-        labels = after.select("node", "root")
-        if not changed:
+        seen = Observation()
+        after = jump.select("node", "old", F.least("root", "next").alias("root")).observe(seen, F.count_if(F.col("old") != F.col("root")).alias("changed"))
+        # the count of changes comes with the write itself
+        labels = materialise(after, "labels").select("node", "root")
+        if not seen.get["changed"]:
             return labels

@@ -528,7 +528,7 @@ class _Joiner:
 
     def settle(self, members: DataFrame) -> None:
         """Joins what the members (cell, node, home, root) of cells, of different homes, let join; takes the written table away."""
-        square = materialise(_across(members), "squares")
+        square = materialise(_across(members), "squares", wide=True)
         drop(members)
         left = self.forest(square)
         if not left.isEmpty():
@@ -566,7 +566,7 @@ def link_nodes(rows: DataFrame, told: DataFrame, node_of, count: bool = True) ->
     buckets = max(n_out, -(-total // (2 * BUCKET_KEYS)))
     keyed = rows.select("text").mapInArrow(_keys(buckets), "bucket int, rows binary")
     met = keyed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key bigint, digest bigint, more int, size int")
-    met = materialise(node_of(met).select("key", "node", "size"), "met")
+    met = materialise(node_of(met).select("key", "node", "size"), "met", wide=True)
     homes = materialise(met.groupBy("node").agg(F.max(F.struct("size", "key")).alias("best")).select("node", F.col("best.key").alias("home")), "homes")
     joiner = _Joiner(rows, told)
 
@@ -588,11 +588,11 @@ def link_nodes(rows: DataFrame, told: DataFrame, node_of, count: bool = True) ->
 
     # of other groups only those of several homes and several classes go on, and of groups of the same members one
     placed = materialise(_rooted(homes, joiner.links), "placed")
-    groups = materialise(met.select("key", "node").join(placed, "node"), "groups")
+    groups = materialise(met.select("key", "node").join(placed, "node"), "groups", wide=True)
     mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
     several = groups.groupBy("key").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), *mark).where("h0 < h1 and r0 < r1")
     several = several.groupBy("mark0", "mark1", "size").agg(F.min("key").alias("key")).select("key")
-    members = materialise(groups.join(several, "key", "left_semi").select(F.col("key").alias("cell"), "node", "home", "root"), "members")
+    members = materialise(groups.join(several, "key", "left_semi").select(F.col("key").alias("cell"), "node", "home", "root"), "members", wide=True)
     drop(met, groups)
     joiner.settle(members)
     if joiner.links is None:

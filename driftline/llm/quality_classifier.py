@@ -153,17 +153,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, qualit
     # the sample has max_train rows of a number each at most: a proven bound for broadcasting
     rows = columns_as(docs, id=id_col, text=text_col).join(F.broadcast(y), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("q").alias("q"), F.min("t").alias("t"))
     rows = rows.select("text", F.xxhash64("id").alias("rank"), F.col("id").cast("string").alias("key"), F.col("q").cast("int").alias("q"), F.col("t").cast("int").alias("t"))
-    table = rows.mapInArrow(features, "rank bigint, key string, q int, t int, marks array<bigint>, words array<int>, x array<double>").toArrow()
-    table = table.sort_by([("rank", "ascending"), ("key", "ascending")])
-    keep = unlike(table["marks"].combine_chunks().flatten().to_numpy().reshape(-1, 2)) if len(table) else np.zeros(0, dtype=bool)
-    table = table.filter(pa.array(keep)).combine_chunks()
-    if not len(table):
+    told = rows.mapInArrow(features, "rank bigint, key string, q int, t int, marks array<bigint>, words array<int>, x array<double>")
+    # the sample is bounded, so one task fits the model; only the model comes back
+    got = told.repartition(1).mapInArrow(_fit_sample, "words binary, mean array<double>, scale array<double>, dense array<double>, bias double").first()
+    if got is None:
         none = np.zeros(0)
         return fit(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((0, len(FEATURES))), none, none)
+    return Logistic(np.frombuffer(got.words, np.float32), *(np.array(got[c]) for c in ("mean", "scale", "dense")), got.bias)
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (rank, key, q, t, marks, words, x), taken in the order of rank and key; nothing for no rows."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts).sort_by([("rank", "ascending"), ("key", "ascending")]).combine_chunks()
+    table = table.filter(pa.array(unlike(table["marks"].combine_chunks().flatten().to_numpy().reshape(-1, 2)))).combine_chunks()
     words, x = (table[c].combine_chunks() for c in ("words", "x"))
     offsets = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).astype(np.int64)
     quality, toxic = (table[c].to_numpy().astype(float) for c in ("q", "t"))
-    return fit(words.flatten().to_numpy(), offsets, x.flatten().to_numpy().reshape(-1, len(FEATURES)), quality * (1 - toxic), toxic)
+    m = fit(words.flatten().to_numpy(), offsets, x.flatten().to_numpy().reshape(-1, len(FEATURES)), quality * (1 - toxic), toxic)
+    lists = [pa.array([v.astype(float).tolist()], pa.list_(pa.float64())) for v in (m.mean, m.scale, m.dense)]
+    yield pa.RecordBatch.from_arrays([pa.array([m.words.tobytes()], pa.binary()), *lists, pa.array([float(m.bias)])], names=["words", "mean", "scale", "dense", "bias"])
 
 
 def _scored(rows: DataFrame, model: Logistic) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import mmap
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -55,22 +54,11 @@ def write_arrays(uri: str, arrays: list[np.ndarray]) -> int:
     return size
 
 
-@functools.lru_cache(maxsize=4096)
-def map_arrays(uri: str) -> list[np.ndarray]:
-    """The arrays under ``uri``, mapped and not read. From a store that cannot be mapped, the file is copied once per worker and its name removed."""
-    local = _local(uri)
-    if local:
-        with open(local, "rb") as f:
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    else:
-        from pyarrow import fs
+#: Files of a store that cannot be mapped which a worker holds in memory at once.
+HELD_FILES = 32
+
 
-        there, path = fs.FileSystem.from_uri(uri)
-        with tempfile.TemporaryFile() as f, there.open_input_stream(path) as source:
-            while block := source.read(1 << 20):
-                f.write(block)
-            f.flush()
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+def _arrays(uri: str, data) -> list[np.ndarray]:
     if data[:8] != _MAGIC:
         raise ValueError(f"{uri} is no array file")
     n = int(np.frombuffer(data, np.int64, 1, 8)[0])
@@ -81,3 +69,24 @@ def map_arrays(uri: str) -> list[np.ndarray]:
         out.append(np.frombuffer(data, kind, length, at))
         at += length * np.dtype(kind).itemsize
     return out
+
+
+@functools.lru_cache(maxsize=4096)
+def _mapped(path: str) -> list[np.ndarray]:
+    with open(path, "rb") as f:
+        return _arrays(path, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+
+@functools.lru_cache(maxsize=HELD_FILES)
+def _stored(uri: str) -> list[np.ndarray]:
+    from pyarrow import fs
+
+    there, path = fs.FileSystem.from_uri(uri)
+    with there.open_input_file(path) as f:
+        return _arrays(uri, f.read())
+
+
+def map_arrays(uri: str) -> list[np.ndarray]:
+    """The arrays under ``uri``: mapped and not read from a shared path; from a store that cannot be mapped read whole, the last few files held."""
+    local = _local(uri)
+    return _mapped(local) if local else _stored(uri)

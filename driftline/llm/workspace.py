@@ -66,7 +66,7 @@ def few_files(df: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame, tag: str, wide: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; ``wide`` rows (whole texts) are not shuffled for it.
+    """Write ``df`` as Parquet in the shared folder and read it back; ``wide`` rows (whole texts), and those of many, are not shuffled for it.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
