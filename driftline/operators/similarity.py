@@ -2,37 +2,97 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors of a block that meet in one group, about; and of these, rows of products that are held at once.
+PART, STRIP = 2048, 512
+#: How far products of matrices may be from sums in the order of the components, and the norms for which that holds.
+SLACK, NORMS = 1e-9, (1e-100, 1e100)
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed in the order of the components."""
+    out = np.zeros(len(a))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for k in range(a.shape[1]):
+            out = out + a[:, k] * b[:, k]
+    return out
+
+
+def _tile(least: float):
+    """Pairs of a group (block, i, j) of vectors whose parts are i and j."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        width = rows["size"][0].as_py()
+        v = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, width).astype(float)
+        ids, part, i, j = rows["id"].to_numpy(), rows["part"].to_numpy(), rows["i"][0].as_py(), rows["j"][0].as_py()
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            norm = np.sqrt(_products(v, v))
+            even = (norm > NORMS[0]) & (norm < NORMS[1])
+            unit = np.where(even[:, None], v / norm[:, None], 0.0)
+        found = [(np.empty(0, dtype=int),) * 2 + (np.empty(0),)]
+        left, right = np.flatnonzero((part == i) & (norm != 0)), np.flatnonzero((part == j) & (norm != 0))
+        for k in range(0, len(left), STRIP):
+            strip = left[k : k + STRIP]
+            # matrices find what could be near enough; odd vectors meet all others
+            near = (unit[strip] @ unit[right].T >= least - SLACK) | ~even[strip][:, None] | ~even[right][None, :]
+            x, y = np.nonzero(near)
+            x, y = strip[x], right[y]
+            if i == j:
+                x, y = x[x < y], y[x < y]
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+                both = norm[x] * norm[y]
+                cos = _products(v[x], v[y]) / both
+                # not a number counts as the greatest, as in SQL
+                ok = (ids[x] < ids[y]) & (both != 0) & ((cos >= least) | np.isnan(cos))
+            found.append((x[ok], y[ok], cos[ok]))
+        x, y, cos = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"block": rows["block"].take(pa.array(x)), "a": rows["id"].take(pa.array(x)), "b": rows["id"].take(pa.array(y)), "cosine": pa.array(cos)})
+
+    return run
+
+
 def cosine_pairs(rows: DataFrame, block: str, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Pairs a < b of the same block with a cosine of ``least`` or more.
 
-    The block bounds the work: only vectors that share it meet. Norms are taken once
-    per vector, not per pair.
+    Only vectors that share a block meet, and all of these do: a block is dealt into
+    parts, and every two parts are a group, whose products are taken as matrices.
+    What may be near enough is then summed in the order of the components, so
+    results do not depend on how vectors are dealt. Norms are taken once per vector
+    and group, not per pair.
     """
-    v = rows.select(F.col(key).alias("id"), F.col(block).alias("block"), F.col(vector).alias("v")).withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    a, b = v.alias("a"), v.alias("b")
-    cos = dot(F.col("a.v"), F.col("b.v")) / F.nullif(F.col("a.n") * F.col("b.n"), F.lit(0.0))
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.block").alias("block"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), cos.alias("cosine")).where(F.col("cosine") >= least)
+    v = rows.select(F.col(key).alias("id"), F.col(block).alias("block"), F.col(vector).alias("v")).where("id is not null and block is not null and v is not null and not exists(v, x -> x is null)")
+    v = v.withColumn("size", F.size("v")).where("size > 0")
+    n = v.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-n // PART))
+    v = v.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = v.withColumn("other", other).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
+    kinds = dict(v.dtypes)
+    return dealt.groupBy("block", "size", "i", "j").applyInArrow(_tile(least), f"block {kinds['block']}, a {kinds['id']}, b {kinds['id']}, cosine double")
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
     """For every id of symmetric ``pairs`` its partner of the greatest cosine (the lower id on ties)."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("partner"), "cosine").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("partner"), "cosine"))
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("partner")), F.struct(F.col("b").alias("id"), F.col("a").alias("partner")))
+    both = pairs.select("cosine", F.inline(ends))
     return both.groupBy("id").agg(F.max_by("partner", F.struct("cosine", -F.col("partner"))).alias("partner"), F.max("cosine").alias("cosine"))
 
 
 def mutual_unique(pairs: DataFrame) -> DataFrame:
-    """Pairs in which each side has no other partner."""
-    count = F.count("*")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(count.alias("n")).where("n = 1").select("id")
-    return pairs.join(ends.withColumnRenamed("id", "a"), "a", "left_semi").join(ends.withColumnRenamed("id", "b"), "b", "left_semi")
+    """Pairs in which each side has no other partner: those that both of their ends have as the only one. Pairs are made once."""
+    ends = pairs.select("*", F.explode(F.array("a", "b")).alias("__id"))
+    only = ends.groupBy("__id").agg(F.count("*").alias("__n"), *[F.min(c).alias(c) for c in pairs.columns]).where("__n = 1")
+    return only.groupBy(*pairs.columns).agg(F.count("*").alias("__n")).where("__n = 2").drop("__n")
 
 
 def centroids(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
