@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Scale
+from .gaps import nearest_of, places
 from .kinematics import by_track, norm
 
+#: Frames whose objects and those that ask for them meet in one group.
+BLOCK = 8
+
+
+def _in_block(offsets: tuple[int, ...]):
+    """For a block of frames the nearest object of each to the observations that are an offset away."""
+
+    def run(asking: pa.Table, objects: pa.Table) -> pa.Table:
+        objects = objects.sort_by("label")
+        (asked, known), (have, there) = places(asking, "x", "y"), places(objects, "ox", "oy")
+        from_, at = asking["frame"].to_numpy(), objects["at"].to_numpy()
+        out = [(np.empty(0, dtype=int), np.empty(0, dtype=np.int32), np.empty(0, dtype=int), pa.array([], pa.float64()))]
+        for frame in np.unique(at):
+            here = np.flatnonzero(at == frame)
+            rows = [np.flatnonzero(from_ == frame - k) for k in offsets]
+            which, rows = np.repeat(np.array(offsets, dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
+            place, far = nearest_of(asked[rows], known[rows], have[here], there[here])
+            out.append((rows, which, here[place], far))
+        rows, which, place, far = zip(*out, strict=True)
+        rows, place = pa.array(np.concatenate(rows)), pa.array(np.concatenate(place))
+        return pa.table({"track_id": asking["track_id"].take(rows), "frame": asking["frame"].take(rows), "offset": pa.array(np.concatenate(which)), "label": objects["label"].take(place), "distance_px": pa.chunked_array(far)})
+
+    return run
+
 
 def temporal_candidates(obs: DataFrame, offsets: tuple[int, ...] = (-2, -1, 1, 2)) -> DataFrame:
     """For every observation and offset the nearest object of that frame (the lower label on ties): track_id, frame, offset, label, distance_px.
 
-    Offsets become rows, so frames meet by equality; the nearest is an aggregate.
+    Observations travel once for each block of frames that their offsets touch, and
+    in a frame objects are looked up in a grid: no pairs are made.
     """
-    a = obs.select("track_id", "frame", "x_px", "y_px", F.explode(F.array(*[F.lit(k) for k in offsets])).alias("offset")).withColumn("at", F.col("frame") + F.col("offset"))
-    b = obs.select(F.col("frame").alias("at"), F.col("det_label").alias("label"), F.col("x_px").alias("ox"), F.col("y_px").alias("oy"))
-    both = a.join(b, "at").withColumn("distance_px", norm(F.col("ox") - F.col("x_px"), F.col("oy") - F.col("y_px")))
-    best = both.groupBy("track_id", "frame", "offset").agg(F.min(F.struct("distance_px", "label")).alias("b"))
-    return best.select("track_id", "frame", "offset", F.col("b.label").alias("label"), F.col("b.distance_px").alias("distance_px"))
+    block = lambda c: F.floor(c / BLOCK)
+    asking = obs.select("track_id", "frame", F.col("x_px").cast("double").alias("x"), F.col("y_px").cast("double").alias("y"), F.explode(F.array_distinct(F.array(*[block(F.col("frame") + k) for k in offsets]))).alias("block"))
+    # names that are on one side only: both come from one table, whose columns a cogroup would take for the same
+    objects = obs.select(F.col("frame").alias("at"), F.col("det_label").alias("label"), F.col("x_px").cast("double").alias("ox"), F.col("y_px").cast("double").alias("oy"), block(F.col("frame")).alias("block"))
+    kinds = dict(asking.dtypes) | {"label": dict(objects.dtypes)["label"]}
+    return asking.groupBy("block").cogroup(objects.groupBy("block")).applyInArrow(_in_block(offsets), f"track_id {kinds['track_id']}, frame {kinds['frame']}, offset int, label {kinds['label']}, distance_px double")
 
 
 def exclusions(obs: DataFrame, horizon: int = 1) -> DataFrame:

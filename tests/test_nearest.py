@@ -86,3 +86,15 @@ def test_gaps_and_candidates_make_no_pairs(spark):
 
     for df in (gates.recovery_attempts(*lost(spark)), gates.recovery_candidates(*lost(spark))):
         assert "Join" not in plans(df)
+
+
+def test_neighbours_in_time_make_no_pairs(spark):
+    """Every observation met every object of four frames, and all these pairs were sorted."""
+    from driftline.operators import audit
+
+    rows = [(1, 7, 0.0, 0.0, 1), (2, 7, 5.0, 0.0, 2), (3, 8, 2.5, 0.0, 1), (4, 9, 0.0, 1.0, 2), (5, 9, 0.0, 1.0, 1), (6, 9, None, 0.0, 0), (7, 20, 0.0, 0.0, 1)]
+    found = audit.temporal_candidates(spark.createDataFrame(rows, "track_id bigint, frame int, x_px double, y_px double, det_label int"))
+    assert "Join" not in plans(found)
+    got = {(r.track_id, r.offset): (r.label, r.distance_px) for r in found.collect()}
+    far = (2.5**2 + 1) ** 0.5
+    assert got == {(1, 1): (1, 2.5), (1, 2): (1, 1.0), (2, 1): (1, 2.5), (2, 2): (1, 26**0.5), (3, -1): (1, 2.5), (3, 1): (1, far), (4, -1): (1, far), (4, -2): (1, 1.0), (5, -1): (1, far), (5, -2): (1, 1.0), (6, -1): (1, None), (6, -2): (1, None)}
