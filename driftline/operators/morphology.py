@@ -82,15 +82,16 @@ def texture(pixels: DataFrame, levels: int = GREY_LEVELS) -> DataFrame:
 
     Levels are equal steps between an object's 1st and 99th percentile; one level
     where these are equal. A pair counts both ways. Objects of one pixel have none.
+    Both joins sort: small as pixels are when packed, as a broadcast they fill the driver.
     """
     ends = pixels.groupBy(*OBJECT).agg(F.percentile("value", F.lit(0.01)).alias("lo"), F.percentile("value", F.lit(0.99)).alias("hi"))
     # to nine places: the last bits of a percentile must not decide
     step = F.floor(F.round((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * levels, 9))
     level = F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(0), F.least(F.lit(levels - 1), step))).otherwise(0).cast("int")
-    own = pixels.join(ends, list(OBJECT)).select(*OBJECT, "y", "x", level.alias("g"))
+    own = pixels.join(ends.hint("merge"), list(OBJECT)).select(*OBJECT, "y", "x", level.alias("g"))
     steps = F.array(*[F.struct(F.lit(k).alias("way"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, (dy, dx) in enumerate(((0, 1), (1, 0), (1, 1), (1, -1)))])
     one = own.withColumn("s", F.explode(steps)).select(*OBJECT, "s.way", F.col("g").alias("a"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    met = one.join(own, [*OBJECT, "y", "x"]).groupBy(*OBJECT, "way", F.col("a"), F.col("g").alias("b")).agg(F.count("*").alias("n"))
+    met = one.join(own.hint("merge"), [*OBJECT, "y", "x"]).groupBy(*OBJECT, "way", F.col("a"), F.col("g").alias("b")).agg(F.count("*").alias("n"))
     both = met.unionByName(met.select(*OBJECT, "way", F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy(*OBJECT, "way", "a", "b").agg(F.sum("n").cast("double").alias("n"))
     n, a, b = F.col("n"), F.col("a"), F.col("b")
     sums = both.groupBy(*OBJECT, "way").agg(
