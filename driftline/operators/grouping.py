@@ -70,15 +70,16 @@ def components(links: DataFrame, checkpoint=None) -> DataFrame:
     """(node, root): the least node that links (a, b) reach, by minimum labels with pointer jumping, until no label changes.
 
     ``checkpoint`` cuts the lineage of each round; without it, rounds are checkpoints
-    in the folder that ``spark.checkpoint.dir`` names.
+    in the folder that ``spark.checkpoint.dir`` names. All joins sort: a round's labels
+    would fill the driver as a broadcast, however small they are when packed.
     """
     cut = _cut(links.sparkSession, checkpoint)
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        after = cut(step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", "old", F.least("root", "next").alias("root")))
+        near = both.join(labels.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        after = cut(step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")).hint("merge"), "root").select("node", "old", F.least("root", "next").alias("root")))
         labels = after.select("node", "root")
         if after.where("old <> root").isEmpty():
             return labels

@@ -270,7 +270,7 @@ def lineage(spark, sf_dir):
 
 def _same_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k"), F.md5(F.concat_ws("|", "source", "lang", F.expr("n_chars div 8"))).alias("m"))
-    star = lambda c: d.groupBy(c).agg(F.min("doc_id").alias("a")).join(d, c).select("a", F.col("doc_id").alias("b")).where("a < b")
+    star = lambda c: d.groupBy(c).agg(F.min("doc_id").alias("a")).join(d.hint("merge"), c).select("a", F.col("doc_id").alias("b")).where("a < b")
     return star("k").unionByName(star("m"))
 
 

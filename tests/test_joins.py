@@ -1,6 +1,6 @@
 """Joins that must not pass through the driver, whatever the session would broadcast."""
 
-from driftline.operators import morphology
+from driftline.operators import grouping, morphology
 
 
 def plan(df):
@@ -11,3 +11,16 @@ def plan(df):
 def test_texture_broadcasts_nothing(spark):
     px = spark.createDataFrame([(0, 1, y, x, float(x * 7 + y)) for y in range(4) for x in range(4)], "frame int, label int, y int, x int, value double")
     assert "Broadcast" not in plan(morphology.texture(px))
+
+
+def test_components_broadcast_nothing(spark):
+    plans = []
+
+    def cut(df):
+        plans.append(plan(df))
+        return df.localCheckpoint()
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (8, 9), (9, 20)], "a bigint, b bigint")
+    got = {r.node: r.root for r in grouping.components(links, cut).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 7}
+    assert not [p for p in plans if "Broadcast" in p]
