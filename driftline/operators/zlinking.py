@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,10 @@ from ..functions import assign
 
 #: The most that an accepted link costs, and the scale of distance.
 MOST_COST, DISTANCE_SCALE = 0.9, 15.0
+#: Slices whose objects meet the next slice's in one group, and pairs that are held at once.
+SLICES, PAIRS = 8, 2_000_000
+#: What a pair's cost is taken from.
+PRICED = ("x", "y", "area", "shape", "min_x", "min_y", "max_x", "max_y")
 
 
 def slice_cost(iou: Column, distance: Column, area0: Column, area1: Column, shape0: Column, shape1: Column) -> Column:
@@ -27,12 +32,66 @@ def box_iou(a: str, b: str) -> Column:
     return w * h / F.nullif(area(a) + area(b) - w * h, F.lit(0.0))
 
 
+def _perhaps(a: dict[str, np.ndarray], b: dict[str, np.ndarray], most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may cost ``most`` or less: none of those is left out, nor any whose cost is not a number here."""
+    reach = DISTANCE_SCALE * most * (1 + 1e-9)
+    # the overlap of other boxes need not lie between 0 and 1, and so says nothing of the distance
+    odd_a, odd_b = (~((t["min_x"] <= t["max_x"]) & (t["min_y"] <= t["max_y"])) for t in (a, b))
+    found = [(np.empty(0, dtype=int),) * 2]
+    strip = max(1, PAIRS // max(1, len(b["x"])))
+    with np.errstate(all="ignore"):
+        for k in range(0, len(a["x"]), strip):
+            part = slice(k, k + strip)
+            far = (np.abs(b["x"] - a["x"][part, None]) > reach) | (np.abs(b["y"] - a["y"][part, None]) > reach)
+            i, j = np.nonzero(~far | odd_a[part, None] | odd_b)
+            p, q = {c: v[part][i] for c, v in a.items()}, {c: v[j] for c, v in b.items()}
+            wide = np.minimum(p["max_x"], q["max_x"]) - np.maximum(p["min_x"], q["min_x"])
+            high = np.minimum(p["max_y"], q["max_y"]) - np.maximum(p["min_y"], q["min_y"])
+            both = np.maximum(wide, 0) * np.maximum(high, 0)
+            size = sum((t["max_x"] - t["min_x"]) * (t["max_y"] - t["min_y"]) for t in (p, q))
+            cost = 1 - both / (size - both) + np.hypot(q["x"] - p["x"], q["y"] - p["y"]) / DISTANCE_SCALE + 0.5 * np.abs(np.log(q["area"] / p["area"])) + 0.5 * np.abs(q["shape"] - p["shape"])
+            some = ~(cost > most + 1e-9 * (1 + abs(most)))
+            found.append((i[some] + k, j[some]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _near_slices(most: float):
+    """Pairs of a block of slices with the next ones, with all that their cost is taken from."""
+
+    def run(below: pa.Table, above: pa.Table) -> pa.Table:
+        z, up = below["z"].to_numpy(), above["b_z"].to_numpy()
+        a, b = ({c: t[p + c].to_numpy() for c in PRICED} for t, p in ((below, "a_"), (above, "b_")))
+        i, j = [np.empty(0, dtype=int)], [np.empty(0, dtype=int)]
+        for k in np.intersect1d(z, up - 1):
+            one, two = np.flatnonzero(z == k), np.flatnonzero(up - 1 == k)
+            m, n = _perhaps({c: v[one] for c, v in a.items()}, {c: v[two] for c, v in b.items()}, most)
+            i.append(one[m])
+            j.append(two[n])
+        rows, others = pa.array(np.concatenate(i)), pa.array(np.concatenate(j))
+        columns = {c: below[c].take(rows) for c in ("stack", "z", "a", *[f"a_{c}" for c in PRICED])} | {c: above[c].take(others) for c in ("b", *[f"b_{c}" for c in PRICED])}
+        return pa.table(columns)
+
+    return run
+
+
 def slice_pairs(objects: DataFrame, most: float = MOST_COST) -> DataFrame:
-    """Pairs of objects (stack, z, label, x, y, area, shape, box) on slices z and z + 1 that cost at most ``most``: stack, z, a, b, cost."""
-    a, b = objects.alias("a"), objects.alias("b")
-    joined = a.join(b, (F.col("a.stack") == F.col("b.stack")) & (F.col("b.z") == F.col("a.z") + 1))
-    cost = slice_cost(F.coalesce(box_iou("a", "b"), F.lit(0.0)), F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")), F.col("a.area"), F.col("b.area"), F.col("a.shape"), F.col("b.shape"))
-    return joined.select(F.col("a.stack").alias("stack"), F.col("a.z").alias("z"), F.col("a.label").alias("a"), F.col("b.label").alias("b"), cost.alias("cost")).where(F.col("cost") <= most)
+    """Pairs of objects (stack, z, label, x, y, area, shape, box) on slices z and z + 1 that cost at most ``most``: stack, z, a, b, cost.
+
+    Objects meet by blocks of slices, as arrays: only pairs that may be cheap enough
+    become rows, and these are priced as columns.
+    """
+    kinds = dict(objects.dtypes)
+    some = objects.where(F.col("stack").isNotNull() & F.col("z").isNotNull())
+    block = lambda z: F.floor(z / SLICES).alias
+    priced = lambda p: [F.col(c).cast("double").alias(f"{p}{c}") for c in PRICED]
+    below = some.select("stack", "z", F.col("label").alias("a"), *priced("a_"), block(F.col("z"))("block"))
+    # names that are on one side only: both come from one table, whose columns a cogroup would take for the same
+    above = some.select(F.col("stack").alias("b_stack"), F.col("z").alias("b_z"), F.col("label").alias("b"), *priced("b_"), block(F.col("z") - 1)("b_block"))
+    numbers = lambda p: ", ".join(f"{p}{c} double" for c in PRICED)
+    near = below.groupBy("stack", "block").cogroup(above.groupBy("b_stack", "b_block")).applyInArrow(_near_slices(most), f"stack {kinds['stack']}, z {kinds['z']}, a {kinds['label']}, {numbers('a_')}, b {kinds['label']}, {numbers('b_')}")
+    near = near.select("stack", "z", "a", "b", *[F.struct(*[F.col(f"{p}_{c}").alias(c) for c in PRICED]).alias(f"{p}_") for p in "ab"])
+    cost = slice_cost(F.coalesce(box_iou("a_", "b_"), F.lit(0.0)), F.hypot(F.col("b_.x") - F.col("a_.x"), F.col("b_.y") - F.col("a_.y")), F.col("a_.area"), F.col("b_.area"), F.col("a_.shape"), F.col("b_.shape"))
+    return near.select("stack", "z", "a", "b", cost.alias("cost")).where(F.col("cost") <= most)
 
 
 def link_slices(pairs: DataFrame, most: float = MOST_COST) -> DataFrame:
