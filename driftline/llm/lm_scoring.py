@@ -32,14 +32,15 @@ from .workspace import columns_as, fresh_path, materialise, small_batches
 
 #: Words of one vocabulary file, about.
 SEGMENT_WORDS = 1 << 19
-#: Tokens whose words, and whose n-grams, are counted in a worker before counts are sent on; characters scored at once.
-COUNT_TOKENS, GRAM_TOKENS, SCORE_CHARS = 1 << 21, 1 << 20, 1 << 22
+#: Tokens whose words, and whose n-grams, are counted in a worker before counts are sent on; characters, and bytes of batches, scored at once.
+COUNT_TOKENS, GRAM_TOKENS, SCORE_CHARS = 1 << 21, 1 << 21, 1 << 23
 #: Training tokens whose n-grams share a file, about: those of one pair of words are never parted.
 FILE_TOKENS = 1 << 20
 #: Least count of a kept n-gram if none is asked for, and the discount.
 LEAST_PAIR, DISCOUNT = 2, 0.75
 #: Log probabilities are kept as multiples of 1 / GRID in 16 bits.
 GRID = 1024
+POWERS = 10.0 ** (np.arange(1 << 16) * (-1.0 / GRID))
 END = np.uint64(0xE4D0F7E47)
 
 
@@ -92,10 +93,10 @@ class Codes:
     def of(self, i: np.ndarray) -> np.ndarray:
         """Probabilities at places ``i``."""
         byte = self.byte[i]
-        code = self.table[np.minimum(byte, len(self.table) - 1)]
+        p = np.append(POWERS[self.table], np.zeros(256 - len(self.table)))[byte]
         rare = np.flatnonzero(byte == 255)
-        code[rare] = self.code[np.searchsorted(self.rare, i[rare].astype(np.uint32))]
-        return 10.0 ** (code * (-1.0 / GRID))
+        p[rare] = POWERS[self.code[np.searchsorted(self.rare, i[rare].astype(np.uint32))]]
+        return p
 
 
 @dataclass
@@ -212,19 +213,32 @@ class _Level:
         return [*pointers.arrays(), *successors.arrays(), *Codes.build(p), *Codes.build(rest)], rest
 
     def follow(self, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place (or -1) and a of each n-gram, and g of its context; ``w`` is -1 for unknown words."""
+        """Place (or -1) and a of each n-gram, and g of its context; ``context`` is in order, ``w`` is -1 for unknown words."""
         place, a = np.full(len(context), -1, dtype=np.int64), np.zeros(len(context))
+        # what a context has is looked up once for all words that are asked after it
+        first = np.append(True, context[1:] != context[:-1])[: len(context)]
+        of, context = np.cumsum(first) - 1, context[first]
         begin, end = (x.astype(np.int64) for x in self.pointers.range(context))
-        some = np.flatnonzero((end > begin) & (w >= 0))
-        begin, end = begin[some], end[some]
+        # running sums start anew, from the last value before it, in each context's range
+        start = np.zeros(len(context), dtype=np.uint64)
+        # most long contexts have one successor, which is the step from the value before it: no search
+        one = np.flatnonzero((end == begin + 1) & (begin > 0))
+        only = np.full(len(context), -1, dtype=np.int64)
+        before, value = self.successors.range(begin[one] - 1)
+        only[one] = (value - before).astype(np.int64) - 1
+        hit = np.flatnonzero((only[of] == w) & (w >= 0))
+        place[hit] = begin[of[hit]]
+        many = (end > begin) & (only < 0)
+        late = np.flatnonzero(many & (begin > 0))
+        start[late] = self.successors.access(begin[late] - 1) + np.uint64(1)
+        some = np.flatnonzero(many[of] & (w >= 0))
         if len(some):
-            # running sums start anew, from the last value before it, in each context's range
-            start = np.where(begin > 0, self.successors.access(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-            at = self.successors.find(start + w[some].astype(np.uint64))
-            hit = (at >= begin) & (at < end)
-            place[some[hit]] = at[hit]
-            a[some[hit]] = self.a.of(at[hit])
-        return place, a, self.g.of(context)
+            at, c = self.successors.find(start[of[some]] + w[some].astype(np.uint64)), of[some]
+            found = (at >= begin[c]) & (at < end[c])
+            place[some[found]] = at[found]
+        hit = np.flatnonzero(place >= 0)
+        a[hit] = self.a.of(place[hit])
+        return place, a, self.g.of(context)[of]
 
 
 def _train_rows(docs: DataFrame) -> DataFrame:
@@ -415,39 +429,52 @@ def train(docs: DataFrame, order: int = 2, least: int = LEAST_PAIR) -> Model:
 
 
 def _score(model: Model):
+    def score(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        h, offset = tokens(texts)
+        at, number, _ = _numbered(h)
+        ids, counts = model.lookup(h[at])
+        del h
+        one = model.unigram(counts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(offset))
+        base = np.bincount(doc, np.log10(one)[number], len(texts))
+        known = np.bincount(doc, (counts > 0)[number], len(texts)).astype(np.int64)
+        p = one[number]
+        i, places = _starts(doc, model.order)
+        # an unknown first word has no weight to fall back from; an unknown word ends what the trie may have
+        some = ids[number[i]] >= 0
+        i, places = i[some], [x[some] for x in places]
+        if len(i):
+            # words are numbered in the order of their ids, if they have any
+            word = np.append(np.where(ids >= 0, np.arange(len(ids)), -1)[number], -1)
+            grams = [word[x] for x in places]
+            at, back, _ = distinct_rows(grams)
+            ids = np.append(ids, -1)
+            grams = [ids[x[at]] for x in grams]
+            a, g = model.walk(grams)
+            for k in range(1, model.order):
+                there = np.flatnonzero(places[k] >= 0)
+                to = places[k][there]
+                p[to] = a[k - 1][back[there]] + g[k - 1][back[there]] * p[to]
+        return np.diff(offset), known, base, np.bincount(doc, np.log10(p), len(texts))
+
+    def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        texts = [x for b in held for x in b.column("text").to_pylist()]
+        ids, held_out = (pa.chunked_array([b.column(c) for b in held]).combine_chunks() for c in ("id", "held_out"))
+        held.clear()
+        out = [score(texts[lo:hi]) for lo, hi in by_bytes(texts, SCORE_CHARS)]
+        n, known, base, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([ids, held_out, pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), model.total, dtype=np.int64)), pa.array(base), pa.array(scores)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # each call visits every file of the trie, and its n-grams are looked up once: batches go together
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            texts = b.column("text").to_pylist()
-            out: list[tuple[np.ndarray, ...]] = []
-            for lo, hi in by_bytes(texts, SCORE_CHARS):
-                h, offset = tokens(texts[lo:hi])
-                at, number, _ = _numbered(h)
-                ids, counts = model.lookup(h[at])
-                one = model.unigram(counts)
-                doc = np.repeat(np.arange(hi - lo), np.diff(offset))
-                base = np.bincount(doc, np.log10(one)[number], hi - lo)
-                known = np.bincount(doc, (counts > 0)[number], hi - lo).astype(np.int64)
-                p = one[number]
-                i, places = _starts(doc, model.order)
-                # an unknown first word has no weight to fall back from; an unknown word ends what the trie may have
-                some = ids[number[i]] >= 0
-                i, places = i[some], [x[some] for x in places]
-                if len(i):
-                    # words are numbered in the order of their ids, if they have any
-                    word = np.append(np.where(ids >= 0, np.arange(len(ids)), -1)[number], -1)
-                    grams = [word[x] for x in places]
-                    at, back, _ = distinct_rows(grams)
-                    ids = np.append(ids, -1)
-                    a, g = model.walk([ids[x[at]] for x in grams])
-                    for k in range(1, model.order):
-                        there = np.flatnonzero(places[k] >= 0)
-                        to = places[k][there]
-                        p[to] = a[k - 1][back[there]] + g[k - 1][back[there]] * p[to]
-                score = np.bincount(doc, np.log10(p), hi - lo)
-                out.append((np.diff(offset), known, base, score))
-            if out:
-                n, known, base, score = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), model.total, dtype=np.int64)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            if held and sum(x.nbytes for x in held) + b.nbytes > SCORE_CHARS:
+                yield scored(held)
+            if b.num_rows:
+                held.append(b)
+        if held:
+            yield scored(held)
 
     return run
 
