@@ -58,3 +58,24 @@ def test_nearest_and_mutual(spark):
 
 def test_no_vectors(spark):
     assert similarity.cosine_pairs(vectors(spark)[1].where("vec_id < 0"), "label", 0.3).count() == 0
+
+
+def test_best_and_only_pairs_by_groups(spark, monkeypatch):
+    _, df = vectors(spark)
+    for part in (2048, 16):
+        monkeypatch.setattr(similarity, "PART", part)
+        for least in (0.3, 0.5, 0.97):
+            pairs = similarity.cosine_pairs(df, "label", least)
+            for got, want in ((similarity.nearest_pairs(df, "label", least), similarity.nearest(pairs)), (similarity.mutual_unique_pairs(df, "label", least), similarity.mutual_unique(pairs))):
+                assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_groups_send_a_row_for_a_vector():
+    """All pairs of a group went on to be ranked or counted: their number grows with the square of a label."""
+    import pyarrow as pa
+
+    n = 300
+    group = pa.table({"id": np.arange(n), "block": np.zeros(n, int), "v": [[1.0, 2.0]] * n, "size": np.full(n, 2), "part": np.zeros(n, int), "i": np.zeros(n, int), "j": np.zeros(n, int)})
+    best, some = similarity._nearest_in_tile(0.3)(group), similarity._only_in_tile(0.3)(group)
+    assert best["id"].to_pylist() == list(range(n)) and best["partner"].to_pylist() == [1] + [0] * (n - 1)
+    assert some["__n"].to_pylist() == [n - 1] * n
