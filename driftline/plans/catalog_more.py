@@ -292,12 +292,12 @@ def cosine_pairs(spark, sf_dir):
 
 @query(f"WITH {COS_SQL}, s AS (SELECT a AS id, b AS partner, cosine FROM q UNION ALL SELECT b, a, cosine FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, partner) AS k FROM s) SELECT id, partner, {r('cosine')} FROM k WHERE k = 1")
 def nearest_pair(spark, sf_dir):
-    return rounded(similarity.nearest(similarity.cosine_pairs(table(spark, sf_dir, "embeddings"), "label", 0.3)))
+    return rounded(similarity.nearest_pairs(table(spark, sf_dir, "embeddings"), "label", 0.3))
 
 
 @query(f"WITH {COS_SQL.replace('0.3', '0.5')}, c AS (SELECT id FROM (SELECT a AS id FROM q UNION ALL SELECT b FROM q) GROUP BY id HAVING count(*) = 1) SELECT block, a, b, {r('cosine')} FROM q WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)")
 def mutual_unique_pairs(spark, sf_dir):
-    return rounded(similarity.mutual_unique(similarity.cosine_pairs(table(spark, sf_dir, "embeddings"), "label", 0.5)))
+    return rounded(similarity.mutual_unique_pairs(table(spark, sf_dir, "embeddings"), "label", 0.5))
 
 
 @query("SELECT label, CAST(k - 1 AS INTEGER) AS k, count(*) AS n, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var_pop, round(var_samp(x), 6) AS var_samp FROM (SELECT label, unnest(generate_series(1, len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, k")
