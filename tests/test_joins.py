@@ -84,3 +84,11 @@ def test_gap_closing_sends_the_events_once(spark):
     rows, n = sent(spark, catalog.gap_closing_candidates(spark, sf))
     assert len(rows) > 1000
     assert n <= 2.5 * catalog.events(spark, sf).count()
+
+
+def test_closing_takes_a_missing_coordinate_from_the_nearest_frame(spark):
+    rows = [(1, 0, 3.0, 1.0), (1, 1, 4.0, None), (1, 2, None, None), (2, 4, None, 9.0), (2, 5, 10.0, 2.0)]
+    obs = spark.createDataFrame(rows, "track_id bigint, frame int, x_px double, y_px double")
+    got = gaps.closing_candidates(obs, catalog.SETTINGS, catalog.SCALE).collect()
+    # as arg_min and arg_max do: from (4, 1) to (10, 9)
+    assert [tuple(r)[:6] for r in got] == [(1, 2, 2, 4, 2, 10.0)]
