@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.linking import DETECTION, Linker, LinkSettings
+from ..operators.linking import COST, Linker, LinkSettings, table
 from ..schema import Scale
 
 LINKED = "movie bigint, track_id int, frame int, label int, x double, y double, match_cost double"
@@ -36,7 +37,7 @@ def link_stream(detections: DataFrame, scale: Scale, settings: LinkSettings = Li
         if state.hasTimedOut:
             state.remove()
             return
-        linker, last = pickle.loads(state.get[0]) if state.exists else (Linker(scale, settings), -1)
+        linker, last = pickle.loads(state.get[0]) if state.exists else (Linker(scale, settings, margins=False), -1)
         pdf = pd.concat(list(batches)).sort_values(["frame", "label"])
         outside = (pdf["frame"] < 0) | (pdf["frame"] >= (n_frames if n_frames is not None else float("inf")))
         behind = ~outside & (pdf["frame"] <= last)
@@ -45,30 +46,14 @@ def link_stream(detections: DataFrame, scale: Scale, settings: LinkSettings = Li
         unlinked = pdf[outside | behind]
         out = [(key[0], None, int(r.frame), r.label, r.x, r.y, None) for r in unlinked.itertuples()]
         for frame, rows in pdf[~(outside | behind)].groupby("frame"):
-            linker.step(int(frame), list(rows[list(DETECTION)].itertuples(index=False, name="Detection")))
+            found, label = table([rows])
             last = int(frame)
-            for t in linker.tracks:
-                d, cost, *_ = t.seen[-1]
-                if d.frame == last:
-                    out.append((key[0], t.id, last, d.label, d.x, d.y, cost))
-                t.seen = t.seen[-2:]
-            linker.closed, linker.events = [], {}
-        for t in linker.tracks:
-            t.seen = [(_plain(d), *rest) for d, *rest in t.seen]
+            track, evidence = linker.step(last, found)
+            out += zip(repeat(key[0]), track.tolist(), repeat(last), label, found["x"], found["y"], evidence[:, COST])
+            linker.closed, linker.events, linker.flags = [], {}, {}
         state.update((pickle.dumps((linker, last)),))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=columns).astype({"track_id": "Int32"})
 
     return detections.groupBy("movie").applyInPandasWithState(run, LINKED, "state binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
-class _Seen:
-    """A detection that can be stored with the state."""
-
-    def __init__(self, values: dict):
-        self.__dict__.update(values)
-
-
-def _plain(d) -> _Seen:
-    return d if isinstance(d, _Seen) else _Seen({c: getattr(d, c) for c in DETECTION})
